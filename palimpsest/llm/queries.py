@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import conversations, encode, packing, quality, similar
+from palimpsest.llm import conversations, encode, packing, pii, quality, similar
 from palimpsest.sources.tables import once, table
 
 NEIGHBOURS, LEAST_COSINE = 8, 0.90
@@ -25,6 +25,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d, "episodes", "episode").unionByName(_similar(spark, d, "facts", "fact"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    e = once(table(spark, d, "episodes").select("id", "content"), "id").select(F.lit("episodes.content").alias("field"), F.col("id").alias("row_id"), F.col("content").alias("text"))
+    f = once(table(spark, d, "facts").select("id", "statement"), "id").select(F.lit("facts.statement").alias("field"), F.col("id").alias("row_id"), F.col("statement").alias("text"))
+    return e.unionByName(f)
+
+
+def _learnt(spark: SparkSession, d: str) -> tuple:
+    sample = table(spark, d, "episodes").select(F.col("content").alias("text")).unionByName(table(spark, d, "facts").select(F.col("statement").alias("text")))
+    f = table(spark, d, "facts")
+    return pii.learn(sample, f.select(F.col("subject").alias("name")), f.filter("predicate = 'lives_in'").select(F.col("object").alias("town")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(_texts(spark, d), *_learnt(spark, d))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(_texts(spark, d), *_learnt(spark, d))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -55,7 +75,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_stats": p10_stats}
+    return {"p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_stats": p10_stats}
 
 
 def oracle_sql() -> dict[str, str]:
