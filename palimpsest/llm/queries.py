@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import conversations, encode, packing, pii, quality, similar
+from palimpsest.llm import conversations, encode, names, packing, pii, quality, similar
 from palimpsest.sources.tables import once, table
 
 NEIGHBOURS, LEAST_COSINE = 8, 0.90
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    subjects = once(table(spark, d, "facts").select("id", "subject"), "id")
+    return names.pairs(names.same_entity(table(spark, d, "entities"), table(spark, d, "entity_aliases"), subjects))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     turns = conversations.rebuild(spark, f"{d}/episodes.parquet", table(spark, d, "session_meta"))
     return turns.select("session_id", "turn_no", "id")
@@ -75,7 +80,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_stats": p10_stats}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_redacted": p7_redacted, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_stats": p10_stats}
 
 
 def oracle_sql() -> dict[str, str]:
