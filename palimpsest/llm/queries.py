@@ -22,7 +22,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, d: str, name: str, kind: str) -> DataFrame:
-    near = similar.nearest(once(table(spark, d, name).select("id", "emb").filter("emb is not null"), "id"), "id", "emb", NEIGHBOURS, LEAST_COSINE)
+    near = similar.nearest(table(spark, d, name).select("id", "emb"), "id", "emb", NEIGHBOURS, LEAST_COSINE)
     return near.select(F.lit(kind).alias("kind"), F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 

@@ -26,7 +26,8 @@ go to different tasks. Only pivots and block counts (at most MAX_PIVOTS rows)
 reach the driver.
 
 Null, empty, all-zero vectors and vectors with a value that is not finite take
-no part. Vectors of different dimension are never compared. Ids must be unique.
+no part. Vectors of different dimension are never compared. Rows of one id must be
+equal and count once.
 """
 
 from __future__ import annotations
@@ -36,14 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 512
+from palimpsest.session import materialise
+
+BLOCK = 1024
 MAX_PIVOTS = 32_768
 MAX_BLOCK = 16_384
-PROBES = 4
+PROBES = 3
 TILE = 1024
+MAX_SENT = 100_000  # rows of a table that may be broadcast
 FLOAT_SLACK = 1e-6  # rounding of the float32 inputs
 
 
@@ -91,7 +96,7 @@ def pivots(unit: DataFrame, rows: int, block: int = BLOCK) -> dict[int, np.ndarr
 
 
 def _assign(piv: dict[int, np.ndarray], probes: int, tiles: dict[int, int] | None):
-    """Rows ``block, pair, side, id, dim, vec``; without tiles only ``block``."""
+    """Rows ``block, side, id, vec``, the tile pair in the low half of ``block``; without tiles only ``block``."""
     base, at = {}, 0
     for d in sorted(piv):
         base[d], at = at, at + len(piv[d])
@@ -126,8 +131,8 @@ def _assign(piv: dict[int, np.ndarray], probes: int, tiles: dict[int, int] | Non
                                 out[k].append(v)
                     where, block, pair, side = (np.array(o) for o in out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block, pa.int32()), pa.array(pair, pa.int64()), pa.array(side, pa.int8()), pa.array(ids[where]), pa.array(np.full(len(where), d), pa.int32()), col.take(pa.array(where))],
-                    names=["block", "pair", "side", "id", "dim", "vec"])
+                    [pa.array(block.astype(np.int64) << 32 | pair, pa.int64()), pa.array(side, pa.int8()), pa.array(ids[where]), col.take(pa.array(where))],
+                    names=["block", "side", "id", "vec"])
 
     return run
 
@@ -183,11 +188,14 @@ def k_best(ids: np.ndarray, others: np.ndarray, cos: np.ndarray, k: int) -> np.n
 def _join(k: int, least: float):
     def best(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(parts).combine_chunks()
-        dims, out = np.asarray(t.column("dim")), []
-        for d in np.unique(dims):
-            u = t.take(pa.array(np.flatnonzero(dims == d)))
+        widths = np.asarray(pc.binary_length(t.column("vec")))
+        out = []
+        for w in np.unique(widths):
+            at = np.flatnonzero(widths == w)
+            at = at[np.unique(np.asarray(t.column("id"))[at] * 4 + np.asarray(t.column("side"))[at], return_index=True)[1]]  # a row delivered twice counts once
+            u = t.take(pa.array(at))
             ids, side = np.asarray(u.column("id")), np.asarray(u.column("side"))
-            m = _matrix(u.column("vec"), d)
+            m = _matrix(u.column("vec"), w // 4)
             if (side == 0).all():
                 x, y, cos = tile_pairs(m, m, k, least, True)
                 a, b = ids[x], ids[y]
@@ -208,15 +216,15 @@ def _join(k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
         for batch in batches:
-            block, pair = np.asarray(batch.column("block")), np.asarray(batch.column("pair"))
-            change = np.flatnonzero((block[1:] != block[:-1]) | (pair[1:] != pair[:-1])) + 1
+            block = np.asarray(batch.column("block"))
+            change = np.flatnonzero(block[1:] != block[:-1]) + 1
             for s, e in zip(np.r_[0, change].tolist(), np.r_[change, len(block)].tolist()):
                 if e == s:
                     continue
-                if (int(block[s]), int(pair[s])) != key:
+                if int(block[s]) != key:
                     if parts and (done := best(parts)) is not None:
                         yield done
-                    key, parts = (int(block[s]), int(pair[s])), []
+                    key, parts = int(block[s]), []
                 parts.append(batch.slice(s, e - s))
         if parts and (done := best(parts)) is not None:
             yield done
@@ -229,15 +237,19 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 8, least: float = -1.
     unit = directions(df, key, vector)
     rank = F.row_number().over(Window.partitionBy("copy").orderBy("id"))
     # the k + 1 smallest ids of each direction that several rows share
-    firsts = unit.select("copy", "id").withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("copy").agg(F.array_sort(F.collect_list("id")).alias("firsts")).filter(F.size("firsts") > 1)
-    alone = unit.join(firsts, "copy", "left").filter(F.col("firsts").isNull() | (F.col("id") == F.col("firsts")[0]))
-
-    rows = df.select(key).count()
+    firsts = unit.select("copy", "id").distinct().withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("copy").agg(F.array_sort(F.collect_list("id")).alias("firsts")).filter(F.size("firsts") > 1)
+    firsts = materialise(firsts)
+    shared = firsts.select("copy", F.col("firsts")[0].alias("head"))
+    if firsts.limit(MAX_SENT + 1).count() <= MAX_SENT:
+        shared = F.broadcast(shared)
+    alone = unit.join(shared, "copy", "left").filter(F.col("head").isNull() | (F.col("id") == F.col("head")))
+
+    rows = df.count()
     piv = pivots(unit, rows, block)
     counts = {r["block"]: r["count"] for r in unit.select("id", "dim", "vec").mapInArrow(_assign(piv, probes, None), "block int").groupBy("block").count().filter(F.col("count") > max_block).collect()}
     tiles = {b: math.ceil(n / max_block) for b, n in counts.items()}
-    spread = alone.select("id", "dim", "vec").mapInArrow(_assign(piv, probes, tiles), "block int, pair bigint, side byte, id bigint, dim int, vec binary")
-    found = spread.repartition("block", "pair").sortWithinPartitions("block", "pair").mapInArrow(_join(k, least), "id bigint, other bigint, cos double")
+    spread = alone.select("id", "dim", "vec").mapInArrow(_assign(piv, probes, tiles), "block bigint, side byte, id bigint, vec binary")
+    found = spread.repartition("block").sortWithinPartitions("block").mapInArrow(_join(k, least), "id bigint, other bigint, cos double")
     one = F.struct((-F.col("cos")).alias("far"), F.col("other").alias("other"))
     best = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k)  # noqa: E731  at most k of each block
     lists = found.groupBy("id").agg(best(F.collect_list(one)).alias("near"))
@@ -248,7 +260,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 8, least: float = -1.
     flat = flat.join(heads, "head", "left").select("id", "far", F.explode(F.coalesce("members", F.array("head"))).alias("other"))
     lists = flat.groupBy("id").agg(best(F.collect_list(F.struct("far", "other"))).alias("near"))
     plain = lists.join(heads.select(F.col("head").alias("id")), "id", "left_anti").select("id", "near")
-    copies = unit.select("id", "copy").join(firsts, "copy").select("id", "firsts", F.col("firsts")[0].alias("head"))
+    copies = unit.select("id", "copy").join(firsts, "copy").select("id", "firsts", F.col("firsts")[0].alias("head")).dropDuplicates(["id"])
     copies = copies.join(lists.withColumnRenamed("id", "head"), "head", "left")
     own = F.transform(F.array_remove("firsts", F.col("id")), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("other")))
     empty = F.expr("cast(array() as array<struct<far:double,other:bigint>>)")
