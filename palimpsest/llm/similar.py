@@ -41,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.sampling import hashed_sample
 from palimpsest.session import materialise
 
 BLOCK = 1024
@@ -88,7 +89,7 @@ def directions(df: DataFrame, key: str, vector: str) -> DataFrame:
 def pivots(unit: DataFrame, rows: int, block: int = BLOCK) -> dict[int, np.ndarray]:
     """A hashed sample of about one in ``block`` vectors, at most MAX_PIVOTS, by dimension."""
     n = min(MAX_PIVOTS, max(1, math.ceil(rows / block)))
-    got = unit.select("dim", "vec", F.xxhash64("copy").alias("h")).orderBy("h").limit(n).select("dim", "vec").collect()
+    got = hashed_sample(unit.select("dim", "vec", "copy"), n, "copy", rows=rows).select("dim", "vec").collect()
     by: dict[int, list[bytes]] = {}
     for r in got:
         by.setdefault(r["dim"], []).append(bytes(r["vec"]))
