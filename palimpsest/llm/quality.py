@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +45,8 @@ _COLUMNS = re.compile(r"\S(?: {2,}|\t)(?=\S)")
 _TIGHT = re.compile(r"[,;](?=\S|$)|\"[,;]\"")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*", re.UNICODE)
 _HEX = re.compile(r"\b(?:0x)?(?=[0-9a-f]*\d)[0-9a-fA-F]{6,}\b")
+_DIGITS = re.compile(r"\d+")
+_MARKS = re.compile("[\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963]+")  # marks that carry vowels, which are no symbols
 _VOWEL = re.compile(r"[aeiouyáàâäéèêëíìîïóòôöúùûüœæ]")
 _MOJIBAKE = re.compile("[\x80-\x9f]|[ÃÂâà][\x80-¿]|�")
 COLUMNS = (
@@ -66,16 +69,14 @@ def describe(text: str | None, common: dict[str, frozenset]) -> tuple:
     tokens = text.split()
     words = _WORD.findall(text)
     lower = [w.lower() for w in words]
-    hits = {lang: sum(1 for w in lower if w in c) for lang, c in common.items()}
+    counted = Counter(lower)
+    hits = {lang: sum(counted[w] for w in c if w in counted) for lang, c in common.items()}
     best = max(hits, key=lambda k: (hits[k], k), default=None)
     letters = sum(map(len, words))
-    digits = sum(c.isdigit() for c in text)
+    digits = n - len(_DIGITS.sub("", text))
     spaces = n - sum(map(len, tokens))
-    marks = sum(1 for c in text if "ऀ" <= c <= "ॣ" and not c.isalpha())
+    marks = 0 if text.isascii() else sum(map(len, _MARKS.findall(text)))
     symbols = max(0, n - letters - digits - spaces - marks)
-    counted: dict[str, int] = {}
-    for w in lower:
-        counted[w] = counted.get(w, 0) + 1
     body = punctuated = bullets = numbers = keyed = pipes = columns = tight = short = prose = hexed = braces = 0
     keys, lines, cells = set(), [], {}
     common_best = common.get(best, frozenset()) if best and hits[best] else frozenset()
@@ -89,8 +90,9 @@ def describe(text: str | None, common: dict[str, frozenset]) -> tuple:
         ended = bool(SENTENCE_END.search(s[-6:]))
         punctuated += ended
         ws = s.split()
-        mark = _BULLET.match(s) or _NUMBER.match(s)
-        if _BULLET.match(s):
+        bullet = _BULLET.match(s)
+        mark = bullet or _NUMBER.match(s)
+        if bullet:
             bullets += m
         elif mark:
             numbers += m
@@ -111,11 +113,11 @@ def describe(text: str | None, common: dict[str, frozenset]) -> tuple:
             short += m
         if plain and not k and (ended or len(ws) > 12) and sum(w.lower().strip(".,!?;:\"'") in common_best for w in ws) >= 0.12 * len(ws):
             prose += m
-        hexed += sum(map(len, _HEX.findall(s)))
+        hexed += sum(map(len, _HEX.findall(s))) if digits else 0
         braces += m if s[0] in "{[<" and s[-1] in "}]>" and len(s) > 6 else 0
     commas = text.count(",") + text.count("،")
     sentences = len(re.findall(r"[.!?।…](?:\s|$)", text))
-    raw = text[:200_000].encode("utf-8", "ignore") if n > 200_000 else text.encode("utf-8", "ignore")
+    raw = text.encode("utf-8", "ignore")
     long_words = [w for w in lower if len(w) > 2 and w.isascii()]
     stats = (
         float(len(tokens)), round(_share(n - spaces, len(tokens)), 4), round(_share(symbols, n), 4), round(_share(punctuated, len(lines)), 4),
@@ -198,7 +200,7 @@ def forms(features: DataFrame, labels: DataFrame, trees: int = 60, depth: int =
 
 def scored(docs: DataFrame, common_words: DataFrame) -> DataFrame:
     """Statistics of all texts that are not blank, with the outlier score."""
-    stats = materialise(statistics(docs, common_words).filter("not blank"))
+    stats = materialise(statistics(docs, common_words).filter("not blank").dropDuplicates(["doc_id"]))
     return stats.join(outliers(tails(stats)), "doc_id")
 
 

@@ -66,8 +66,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = once(table(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
-    return quality.scored(docs, table(spark, d, "common_words"))
+    return quality.scored(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
