@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import temporal_queries
+from palimpsest.plans import store_queries, temporal_queries, text_queries
 
-MODULES = (temporal_queries,)
+CATALOGUES = (store_queries.C, text_queries.C)
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.queries().items()}
+    return {**{k: v for c in CATALOGUES for k, v in c.run.items()}, **temporal_queries.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
+    return {**{k: v for c in CATALOGUES for k, v in c.sql.items()}, **temporal_queries.oracle_sql()}
 
 
-FLAGSHIP = temporal_queries.p4_found
+FLAGSHIP = text_queries.bm25_episodes
