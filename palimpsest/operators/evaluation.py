@@ -34,11 +34,11 @@ def auc(scored: DataFrame, group: str, score: str, positive: Column) -> DataFram
     Equal scores are folded before the window, so a group's window holds one row
     per distinct score.
     """
-    tied = scored.groupBy(group, score).agg(F.count("*").alias("c"), F.sum(positive.cast("bigint")).alias("p"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = tied.withColumn("rank", before + (F.col("c") + 1) / 2)
-    s = ranks.groupBy(group).agg(F.sum("p").alias("pos"), F.sum(F.col("c") - F.col("p")).alias("neg"), F.sum(F.col("rank") * F.col("p")).alias("ranks"))
-    u = F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2
+    tied = scored.groupBy(group, score).agg(F.count("*").alias("_c"), F.sum(positive.cast("bigint")).alias("_p"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = tied.withColumn("_rank", before + (F.col("_c") + 1) / 2)
+    s = ranks.groupBy(group).agg(F.sum("_p").alias("pos"), F.sum(F.col("_c") - F.col("_p")).alias("neg"), F.sum(F.col("_rank") * F.col("_p")).alias("_ranks"))
+    u = F.col("_ranks") - F.col("pos") * (F.col("pos") + 1) / 2
     return s.select(group, "pos", "neg", F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.round(u / (F.col("pos") * F.col("neg")), 6)).alias("auc"))
 
 
