@@ -1,18 +1,28 @@
 """Inverted index and BM25 for a batch of queries.
 
 ``postings`` are built once per corpus and hold one row per term and document.
-A batch of queries is answered by one equi-join of its terms with the postings;
-term weights are computed per distinct term, not per query.  The query side is
-broadcast only if it is known to be small (``broadcast_terms``).
+Term weights are computed once per distinct term and document by equi-joins.
+Common words make pairs of query and document far more numerous than term
+weights, so these are never rows: documents stream in blocks, each block's
+weights form a matrix of terms by documents, a query's scores are a sum of its
+rows, and only its k best of the block become rows.  Queries are sent to the
+executors in blocks of QUERY_BLOCK.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import index_tokens, light_stem
 
+QUERY_BLOCK, QUERY_TERMS, DOC_BLOCK = 20_000, 8_000, 1024
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -54,11 +64,88 @@ def bm25(docs: DataFrame, terms: DataFrame, k: int | None = 10, prefix: bool = F
         expand = cut.join(stems, ["term", "len"]).select("word", "term")
         post = post.withColumnRenamed("term", "word").join(expand, "word").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
     parts = term_weights(post, corpus(docs), terms)
-    scores = terms.join(parts, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("score"))
+    if k is None:
+        scores = terms.join(parts, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("score"))
+    else:
+        scores = _best(parts, terms, k)
     ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("bigint"))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+def _best(parts: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """``qid, doc_id, score``: at least the k best documents of each query."""
+    by_doc = parts.repartition("doc_id").sortWithinPartitions("doc_id")
+    out, after = None, None
+    while True:
+        ids = terms.select("qid").distinct().orderBy("qid")
+        page = [r["qid"] for r in (ids if after is None else ids.filter(F.col("qid") > F.lit(after))).limit(QUERY_BLOCK).collect()]
+        if page or out is None:
+            rows = terms.filter(F.col("qid").between(page[0], page[-1])).select("qid", "term", "weight").orderBy("qid", "term").collect() if page else []
+            got = by_doc.mapInArrow(_scorer(rows, k), f"qid {terms.schema['qid'].dataType.simpleString()}, doc_id bigint, score double")
+            out = got if out is None else out.unionByName(got)
+        if len(page) < QUERY_BLOCK:
+            return out
+        after = page[-1]
+
+
+def _scorer(rows: list, k: int):
+    vocabulary = sorted({r["term"] for r in rows})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    at = np.array([place[r["term"]] for r in rows], np.int64)
+    weight = np.array([float(r["weight"]) for r in rows])
+    qids = [r["qid"] for r in rows]
+    starts = [i for i in range(len(rows)) if i == 0 or qids[i] != qids[i - 1]]
+    names = [qids[i] for i in starts]
+    cuts, first = [], 0  # runs of queries of about QUERY_TERMS terms
+    for j in range(len(starts)):
+        end = starts[j + 1] if j + 1 < len(starts) else len(rows)
+        if end - starts[first] >= QUERY_TERMS or j + 1 == len(starts):
+            cuts.append((first, j + 1, starts[first], end))
+            first = j + 1
+
+    def score(doc: np.ndarray, term: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, column = np.unique(doc, return_inverse=True)
+        for d in range(0, len(ids), DOC_BLOCK):
+            here = (column >= d) & (column < d + DOC_BLOCK)
+            n = min(DOC_BLOCK, len(ids) - d)
+            m = np.zeros((len(vocabulary), n))
+            m[term[here], column[here] - d] = part[here]
+            for q0, q1, r0, r1 in cuts:
+                s = np.add.reduceat(m[at[r0:r1]] * weight[r0:r1, None], np.array(starts[q0:q1]) - r0, axis=0)
+                found = s > 0
+                s = np.round(s, 6)
+                if n > k:
+                    found &= s >= np.partition(s, -k, axis=1)[:, -k:-k + 1 or None]
+                x, y = np.nonzero(found)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[q0 + i] for i in x], pa.array(names[:1]).type), pa.array(ids[d + y]), pa.array(s[x, y])], names=["qid", "doc_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        values, held = pa.array(vocabulary, pa.string()), []
+
+        def flush(upto: int | None) -> Iterator[pa.RecordBatch]:
+            doc, term, part = (np.concatenate(c) for c in zip(*held))
+            ready = np.ones(len(doc), bool) if upto is None else doc != upto
+            held[:] = [] if upto is None else [(doc[~ready], term[~ready], part[~ready])]
+            if ready.any():
+                yield from score(doc[ready], term[ready], part[ready])
+
+        for b in batches:
+            term = pc.index_in(b.column("term").cast(pa.string()), value_set=values)
+            ok = np.asarray(term.is_valid())
+            if not ok.any():
+                continue
+            held.append((np.asarray(b.column("doc_id"))[ok], np.asarray(term.drop_null()), np.asarray(b.column("part"))[ok]))
+            if sum(len(h[0]) for h in held) > 50_000:
+                yield from flush(int(held[-1][0][-1]))  # the last document may go on in the next batch
+        if held:
+            yield from flush(None)
+
+    return run
+
+
 def terms_of(queries: DataFrame, tokens: Column, stem: bool = False) -> DataFrame:
     """``qid, term, weight`` of ``qid`` and an array of tokens."""
     each = queries.select("qid", F.explode(tokens).alias("term"))
