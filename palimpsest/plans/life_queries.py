@@ -104,7 +104,7 @@ _GONE = "gone as (select session_id from (select distinct session_id from ep whe
 @C.add("mut08_erase_session", f"""with {_GONE}, dead as (select id, subject, predicate from fa where session_id in (select session_id from gone)), touched as (select subject as name from dead union select 'digest:' || predicate from dead union select lk.name from lk join dead on dead.id = lk.fact_id),
    lost as (select id from dead union select id from fa where kind = 'observation' and (subject in (select name from touched) or predicate in (select name from touched)))
    select 'episodes' as "table", count(*) as n, 0 as pointers from ep where session_id is null or session_id not in (select session_id from gone) union all
-   select 'facts', count(*), count(case when superseded_by not in (select id from lost) then 1 end) from fa where id not in (select id from lost) union all select 'links', count(*), 0 from lk where fact_id not in (select id from lost)""", "ep fa lk")
+   select 'facts', count(*), count(case when superseded_by is not null and superseded_by not in (select id from lost) then 1 end) from fa where id not in (select id from lost) union all select 'links', count(*), 0 from lk where fact_id not in (select id from lost)""", "ep fa lk")
 def _(s, d):
     gone = ep(s, d).select("session_id").filter("session_id is not null").distinct().filter("substring(md5(session_id), 1, 1) = '0'")
     left = lifecycle.erase_sessions(ep(s, d), fa(s, d), lk(s, d), gone)
