@@ -60,11 +60,14 @@ def test_blocks_settle_like_whole_sources(spark):
         v = rnd.choice(["03/04/2024 10:00", "05/06/2024 09:00", "13/04/2024 08:00", "2024-04-03T10:00:00Z", "07/08/2024 12:00", None, "unknown"])
         rows.append(("f", rnd.choice(["a", "b", None]), i, str(i), v, "UTC", rnd.choice(["dmy", "mdy", None])))
     df = spark.createDataFrame(rows, ROWS)
-    one = {r["row_id"]: r["us"] for r in ts.normalise(df).collect()}
-    cut = {r["row_id"]: r["us"] for r in ts.normalise(df, block=7).collect()}
+    one = {r["row_id"]: (r["us"], r["against"]) for r in ts.normalise(df).collect()}
+    cut = {r["row_id"]: (r["us"], r["against"]) for r in ts.normalise(df, block=7).collect()}
     assert one == cut
     assert len(one) == 300
-    assert all(one[r[3]] == ts.declared_instant(r[4], r[5], r[6]) for r in rows if r[4] not in (None, "unknown"))
+    for r in rows:
+        us, against = one[r[3]]
+        # a value with no reading in the declared order keeps the other one, marked as against it
+        assert (None if against else us) == ts.declared_instant(r[4], r[5], r[6])
 
 
 def test_empty_table(spark):
