@@ -16,7 +16,7 @@ from palimpsest.streaming import ingest
 C = Catalogue()
 WORLD, KNOWN = "2023-06-01T00:00:00Z", "2023-09-01T00:00:00Z"
 
-_KEY_US = """case when regexp_matches(valid_from, '(Z|[+-][0-9]{2}:?[0-9]{2})$') then epoch_us(try_cast(valid_from as timestamptz)) else epoch_us(try_cast(valid_from as timestamp)) end"""
+_KEY_US = """case when regexp_matches(valid_from, '(Z|[+-][0-9]{2}:?[0-9]{2})$') then epoch_us(try_cast(valid_from as timestamptz)) when regexp_matches(valid_from, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') then epoch_us(try_cast(valid_from as timestamp)) end"""
 _CHAIN = f"ch as (select *, lead(valid_from) over w chain_invalid_at, lead(id) over w chain_superseded_by from (select *, {_KEY_US} us from fa) window w as (partition by subject, predicate, scope order by us is null, us, valid_from, id))"
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.plans import life_queries, store_queries, temporal_queries, text_queries
+from palimpsest.plans import life_queries, more_queries, store_queries, temporal_queries, text_queries
 
-CATALOGUES = (store_queries.C, text_queries.C, life_queries.C)
+CATALOGUES = (store_queries.C, text_queries.C, life_queries.C, more_queries.C)
 
 
 def queries() -> dict:
