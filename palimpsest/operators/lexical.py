@@ -6,7 +6,7 @@ Common words make pairs of query and document far more numerous than term
 weights, so these are never rows: documents stream in blocks, each block's
 weights form a matrix of terms by documents, a query's scores are a sum of its
 rows, and only its k best of the block become rows.  Queries are sent to the
-executors in blocks of QUERY_BLOCK.
+executors in pages of PAGE terms.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import index_tokens, light_stem
 
-QUERY_BLOCK, QUERY_TERMS, DOC_BLOCK = 20_000, 8_000, 1024
+PAGE, QUERY_TERMS, DOC_BLOCK = 200_000, 8_000, 1024
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -77,15 +77,19 @@ def _best(parts: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     by_doc = parts.repartition("doc_id").sortWithinPartitions("doc_id")
     out, after = None, None
     while True:
-        ids = terms.select("qid").distinct().orderBy("qid")
-        page = [r["qid"] for r in (ids if after is None else ids.filter(F.col("qid") > F.lit(after))).limit(QUERY_BLOCK).collect()]
-        if page or out is None:
-            rows = terms.filter(F.col("qid").between(page[0], page[-1])).select("qid", "term", "weight").orderBy("qid", "term").collect() if page else []
+        rows = (terms if after is None else terms.filter(F.col("qid") > F.lit(after))).select("qid", "term", "weight").orderBy("qid", "term").limit(PAGE).collect()
+        full = len(rows) == PAGE
+        if full:  # the last query's terms may go on in the next page
+            last = rows[-1]["qid"]
+            rows = [r for r in rows if r["qid"] != last]
+            if not rows:
+                raise ValueError(f"a query has more than {PAGE} terms")
+        if rows or out is None:
             got = by_doc.mapInArrow(_scorer(rows, k), f"qid {terms.schema['qid'].dataType.simpleString()}, doc_id bigint, score double")
             out = got if out is None else out.unionByName(got)
-        if len(page) < QUERY_BLOCK:
+        if not full:
             return out
-        after = page[-1]
+        after = rows[-1]["qid"]
 
 
 def _scorer(rows: list, k: int):
