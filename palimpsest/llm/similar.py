@@ -259,7 +259,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 8, least: float = -1.
     heads = firsts.select(F.col("firsts")[0].alias("head"), F.col("firsts").alias("members"))
     flat = lists.select("id", F.explode("near").alias("n")).select("id", "n.far", F.col("n.other").alias("head"))
     flat = flat.join(heads, "head", "left").select("id", "far", F.explode(F.coalesce("members", F.array("head"))).alias("other"))
-    lists = flat.groupBy("id").agg(best(F.collect_list(F.struct("far", "other"))).alias("near"))
+    lists = materialise(flat.groupBy("id").agg(best(F.collect_list(F.struct("far", "other"))).alias("near")))  # read twice below
     plain = lists.join(heads.select(F.col("head").alias("id")), "id", "left_anti").select("id", "near")
     copies = unit.select("id", "copy").join(firsts, "copy").select("id", "firsts", F.col("firsts")[0].alias("head")).dropDuplicates(["id"])
     copies = copies.join(lists.withColumnRenamed("id", "head"), "head", "left")
