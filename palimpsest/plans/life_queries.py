@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import bitemporal, evaluation, graph, lifecycle, sampling
+from palimpsest.operators.neighbours import joined_text
 from palimpsest.plans.base import Catalogue, ep, fa, gold, lk, qs
 from palimpsest.plans.text_queries import bm25_episodes
 from palimpsest.session import shared_path
@@ -234,6 +235,22 @@ def _(s, d):
     return f.join(n, "session_id").select("fact_id", "edges")
 
 
+@C.add("hsh01_session_digest_all", "select session_id, sha256(string_agg(sha256(coalesce(role, '') || chr(1) || coalesce(content, '')), '' order by id)) as hash from ep where session_id is not null group by 1", "ep")
+def _(s, d):
+    """Digests of every session, the shared one included."""
+    row = F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("\x01"), F.coalesce("content", F.lit(""))), 256)
+    got = joined_text(ep(s, d).filter("session_id is not null"), ["session_id"], F.floor(F.col("id") / 65_536), ["id"], row, "")
+    return got.select("session_id", F.sha2("text", 256).alias("hash"))
+
+
+@C.add("mut13_session_stamps_all", "select f.id as fact_id, count(e.id) as edges from fa f join ep e on e.session_id = f.session_id group by 1", "fa ep")
+def _(s, d):
+    """Each fact stems from every turn of its session, the shared one included."""
+    f = fa(s, d).filter("session_id is not null").select(F.col("id").alias("fact_id"), "session_id")
+    n = ep(s, d).filter("session_id is not null").groupBy("session_id").agg(F.count("*").alias("edges"))
+    return f.join(n, "session_id").select("fact_id", "edges")
+
+
 # ---- evaluation -------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import phrases
 from palimpsest.functions import text as tx
 from palimpsest.operators import fusion, graph, lexical, plugins, vector
+from palimpsest.operators.neighbours import with_neighbours
 from palimpsest.plans.base import Catalogue, al, ep, fa, gold, lk, qs
 from palimpsest.plans.text_queries import _ANCHORED, _anchored, _channels, _intent, _LX, _semantic
 from palimpsest.sources.tables import table
@@ -111,6 +112,13 @@ def _(s, d):
     return ep(s, d).filter("session_id is not null and session_id != 'capture-inbox'").select("id", (F.col("id") != F.lag("id").over(w) + 1).alias("gap"))
 
 
+@C.add("win11_gap_markers_all", "select id, id != lag(id) over (partition by session_id order by id) + 1 as gap from ep where session_id is not null", "ep")
+def _(s, d):
+    """Gap markers of every session, the shared one included."""
+    n = with_neighbours(ep(s, d).filter("session_id is not null").select("session_id", "id"), ["session_id"], "id", ["id"], 65_536, nxt=None)
+    return n.select("id", (F.col("id") != F.col("prev.id") + 1).alias("gap"))
+
+
 @C.add("win13_prefix_budget", f"{_LX} select qid, id from (select lx.qid, lx.doc_id id, sum(length(coalesce(e.content, '')) + 1) over (partition by lx.qid order by lx.rank) used from lx join ep e on e.id = lx.doc_id) where used <= 1500", "ep qs")
 def _(s, d):
     lex = _channels(s, d)["bm25"].join(ep(s, d).select("id", "content"), "id")

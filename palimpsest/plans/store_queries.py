@@ -332,6 +332,14 @@ def _(s, d):
     return ep(s, d).filter("session_id is not null and session_id != 'capture-inbox'").select("id", F.count("*").over(w).alias("around"))
 
 
+@C.add("win08_window_of_turns_all", "select id, count(*) over (partition by session_id order by id rows between 2 preceding and 2 following) as around from ep where session_id is not null", "ep")
+def _(s, d):
+    """Turn windows of every session, the shared one included."""
+    from palimpsest.operators.neighbours import around
+
+    return around(ep(s, d).filter("session_id is not null").select("session_id", "id"), "session_id", "id", 2, 65_536).select("id", "around")
+
+
 @C.add("win10_round_robin", "select doc_id, cast(turn as bigint) turn from (select doc_id, lang, row_number() over (partition by lang order by doc_id) turn from documents) order by turn, lang nulls first, doc_id limit 100")
 def _(s, d):
     from palimpsest.operators.evaluation import round_robin

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import phrases
 from palimpsest.functions import text as tx
 from palimpsest.operators import fusion, graph, lexical, packing, vector
+from palimpsest.operators.neighbours import joined_text
 from palimpsest.plans.base import Catalogue, ep, fa, gold, lk, qs
 from palimpsest.sources.tables import once, table
 
@@ -106,6 +107,14 @@ def _(s, d):
     return got.select("session_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("text"))
 
 
+@C.add("str18_session_render_all", "select session_id, string_agg(coalesce(role, 'user') || ': ' || coalesce(content, ''), chr(10) order by id) as text from ep where session_id is not null group by session_id", "ep")
+def _(s, d):
+    """Every session as text, the shared one from ordered pieces."""
+    line = F.concat(F.coalesce("role", F.lit("user")), F.lit(": "), F.coalesce("content", F.lit("")))
+    got = joined_text(ep(s, d).filter("session_id is not null"), ["session_id"], F.floor(F.col("id") / 65_536), ["id"], line, "\n")
+    return got.select("session_id", "text")
+
+
 @C.add("str19_overlap", "select id, cast(len(list_intersect(string_split(lower(statement), ' '), string_split(lower(coalesce(object, '')), ' '))) as bigint) as n from fa where statement is not null", "fa")
 def _(s, d):
     return fa(s, d).filter("statement is not null").select("id", tx.overlap(F.col("statement"), F.coalesce("object", F.lit(""))).cast("bigint").alias("n"))
