@@ -99,6 +99,14 @@ def _(s, d):
     return g.select("subject", "predicate", "scope", "n", F.array_join(F.transform("r", lambda x: x["statement"]), "; ").alias("digest"))
 
 
+@C.add("mut07_observation_digests_all", """select subject, predicate, scope, count(*) as n, string_agg(statement, '; ' order by valid_from, id) as digest from fa where kind != 'observation' and invalid_at is null and subject != '' and statement is not null group by 1, 2, 3 having count(*) >= 3""", "fa")
+def _(s, d):
+    """Digests of every subject, 'user' included; large ones from pieces by month."""
+    f = fa(s, d).filter("kind != 'observation' and invalid_at is null and subject != '' and statement is not null")
+    got = joined_text(f, ["subject", "predicate", "scope"], F.substring("valid_from", 1, 7), ["valid_from", "id"], F.col("statement"), "; ")
+    return got.filter("n >= 3").withColumnRenamed("text", "digest")
+
+
 _GONE = "gone as (select session_id from (select distinct session_id from ep where session_id is not null) where substr(md5(session_id), 1, 1) = '0')"
 
 
