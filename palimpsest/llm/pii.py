@@ -84,11 +84,11 @@ NUMBER = re.compile(
 ADDRESS = re.compile(
     rf"(?<![\w-])(?:(?:{UNIT},?\s)?\d{{1,5}}(?:\s?[a-z])?,?\s(?:st\.\s)?(?:[^\W\d_][\w'’-]*\s){{1,4}}?{STREET}(?:,?\s{UNIT})?,?\s+"
     rf"|[^\W\d_][\w.-]*(?:weg|stra(?:ss|ß)e|str\.|platz|gasse|allee|damm|ufer)\s\d{{1,4}}\s?[a-z]?,\s+(?:\d{{4,5}}\s)?"
-    rf"|\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|quai)\s(?:[\w'’-]+\s?){{1,5}},\s+(?:\d{{5}}\s)?"
+    rf"|\d{{1,4}}(?:\s(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|quai)\s[\w'’-]+(?:\s[\w'’-]+){{0,4}}\s?,\s+(?:\d{{5}}\s)?"
     rf"|(?:calle|avenida|plaza|via|rua)\s(?:[\w'’-]+\s){{1,4}}\d{{1,4}},\s+(?:\d{{4,5}}\s)?)", re.IGNORECASE)
 POSTCODE = re.compile(r",?\s(?:\d{5,6}(?:-\d{4})?|[A-Z]{1,2}\d[A-Z\d]?\s\d[A-Z]{2})\b", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+(?:['’](?!s\b|S\b)[^\W\d_]+)*")
-LONG_DIGITS = re.compile(r"\d.{0,2}\d.{0,2}\d.{0,2}\d|\d.*(?i:st|rd|ln|ave|road|street|lane|drive|close|terrace|blvd|way|weg|str)")
+DIGIT = re.compile(r"\d")  # every ADDRESS and NUMBER has one
 
 
 @dataclass
@@ -165,7 +165,7 @@ class Finder:
                 if free(*m.span()):
                     taken.append(m.span())
                     out.append(self._node(text, m.start(), m.end(), "email" if "@" in m[0] else "spelled", [], LABELS.index("email")))
-        if LONG_DIGITS.search(text):
+        if DIGIT.search(text):
             for m in ADDRESS.finditer(text):
                 end = self._town(text, m.end())
                 if end and free(m.start(), end):
