@@ -1,8 +1,10 @@
 """The most similar vectors of every vector.
 
 A block matrix join.  Every vector goes to the blocks of its ``probes`` most
-similar pivots; two similar vectors share a block with high probability, and
-each block's rows are compared with each other in tiles:
+similar pivots, and of all others whose cosine is within ``MARGIN`` of the best
+one's: inside a crowded group many pivots are about as near. Two similar vectors
+share a block with high probability, and each block's rows are compared with each
+other in tiles:
 
 1. rows are quantised to int8 with one scale a row, and a tile of int8 products
    gives approximate cosines; the products are exact integers;
@@ -13,8 +15,8 @@ each block's rows are compared with each other in tiles:
    the lists of a row's blocks are merged to the k best of all.
 
 Accuracy: within a block the result is exact; a pair is lost only if the two
-share no pivot. The pivots are a hashed sample of at most MAX_PIVOTS vectors,
-one for every BLOCK vectors; every vector is indexed. README has the recall
+share no pivot. The pivots are a hashed sample of at most MAX_PIVOTS directions,
+one for every BLOCK directions; every vector is indexed. README has the recall
 against brute force.
 
 Copies: vectors of equal direction are one row of the join. Their pairs come
@@ -48,6 +50,7 @@ BLOCK = 1024
 MAX_PIVOTS = 32_768
 MAX_BLOCK = 16_384
 PROBES = 3
+MARGIN = 0.04  # of cosine; in simulated groups of near vectors at 0.02 0.92 to 0.98 of the pairs are found, at 0.04 all
 TILE = 1024
 MAX_SENT = 100_000  # rows of a table that may be broadcast
 FLOAT_SLACK = 1e-6  # rounding of the float32 inputs
@@ -110,12 +113,14 @@ def _assign(piv: dict[int, np.ndarray], probes: int, tiles: dict[int, int] | Non
                 take = pa.array(rows)
                 col = b.column("vec").take(take)
                 if d not in piv:  # a dimension so rare that the sample has none of it
-                    block = np.full((len(rows), 1), -int(d))
+                    where, block = np.arange(len(rows)), np.full(len(rows), -int(d))
                 else:
                     like = _matrix(col, d) @ piv[d].T
                     p = min(probes, like.shape[1])
-                    block = base[d] + np.argpartition(-like, p - 1, axis=1)[:, :p]
-                where, block = np.repeat(np.arange(len(rows)), block.shape[1]), block.ravel()
+                    near = like >= like.max(1, keepdims=True) - MARGIN
+                    np.put_along_axis(near, np.argpartition(-like, p - 1, axis=1)[:, :p], True, axis=1)
+                    where, block = np.nonzero(near)
+                    block = base[d] + block
                 if tiles is None:
                     yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32())], names=["block"])
                     continue
@@ -245,8 +250,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 8, least: float = -1.
         shared = F.broadcast(shared)
     alone = unit.join(shared, "copy", "left").filter(F.col("head").isNull() | (F.col("id") == F.col("head")))
 
-    rows = df.count()
-    piv = pivots(unit, rows, block)
+    piv = pivots(alone, alone.count(), block)
     counts = {r["block"]: r["count"] for r in unit.select("id", "dim", "vec").mapInArrow(_assign(piv, probes, None), "block int").groupBy("block").count().filter(F.col("count") > max_block).collect()}
     tiles = {b: math.ceil(n / max_block) for b, n in counts.items()}
     spread = alone.select("id", "dim", "vec").mapInArrow(_assign(piv, probes, tiles), "block bigint, side byte, id bigint, vec binary")
