@@ -3,7 +3,9 @@
 1. Each spelling is read into parts: a person's first name (or initial) and
    surname, or an organisation's own word and its kind (``school of music``),
    without titles, legal forms and middle initials.
-2. The distinctive parts (surnames, own words) are joined with each other by a
+2. The distinctive parts (surnames, own words) are joined with each other where
+   they share a word with letters left out, as many as step 3 accepts edits
+   (a transposition is one), and by a
    prefix-filtered set-similarity join on their padded q-grams: of each token's
    grams, rarest first, only as many are indexed as any partner above the
    similarity must share one of.
@@ -41,6 +43,7 @@ from palimpsest.session import materialise
 from palimpsest.sources.tables import spelling
 
 Q, SIMILAR, ACCEPT, MAX_FIRST = 2, 0.34, 0.72, 20_000
+LONG = 24  # letters; words beyond are joined by grams alone
 # Short forms of first names and the names they stand for.
 SHORT_FORMS = {k: frozenset(v.split("|")) for k, v in (x.split("=") for x in """
 alex=alexander sasha=alexander xander=alexander sandy=alexander andy=andrew drew=andrew tony=anthony ben=benjamin benny=benjamin charlie=charlotte lottie=charlotte
@@ -251,6 +254,35 @@ def _gram_pairs(tokens: DataFrame, q: int = Q, least: float = SIMILAR) -> DataFr
     return near.filter(shared >= F.lit(least) * (sa + sb - shared)).select("a", "b").distinct()
 
 
+def _left_out(t: str) -> set[str]:
+    """Keys of which any two words share one if ``own_similarity`` accepts them."""
+    one = {t, *(t[:k] + t[k + 1:] for k in range(len(t)))} if len(t) > 3 else set()
+    keys = {f"1{x}" for x in one}
+    if len(t) > 5:  # two edits, between equal ends
+        inner = t[1:-1]
+        less = {inner[:k] + inner[k + 1:] for k in range(len(inner))}
+        keys |= {f"2{t[0]}{t[-1]}{x}" for x in {inner} | less | {x[:k] + x[k + 1:] for x in less for k in range(len(x))}}
+    return keys
+
+
+def _slip_pairs(tokens: DataFrame) -> DataFrame:
+    """``a, b``: pairs of distinct tokens of at most LONG letters, a < b, that ``own_similarity`` accepts."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(t, k) for t in pdf["t"] for k in _left_out(t)]
+            if rows:
+                yield pd.DataFrame(rows, columns=["t", "k"])
+
+    def accepted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[own_similarity(a, b) > 0 for a, b in zip(pdf["a"], pdf["b"])]]
+
+    each = tokens.filter(F.length("t") <= LONG).mapInPandas(keys, "t string, k string")
+    both = each.select(F.col("t").alias("a"), "k").join(each.select(F.col("t").alias("b"), "k"), "k").filter("a < b").select("a", "b").distinct()
+    return both.mapInPandas(accepted, "a string, b string")
+
+
 def components(names: DataFrame, links: DataFrame) -> DataFrame:
     """``name, part``: the least name reachable by links (``a, b``), by propagation and pointer jumping."""
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -297,7 +329,8 @@ def link(names: DataFrame, told: DataFrame, together: DataFrame) -> DataFrame:
     own = read_names.groupBy("kind", "own").count().select("kind", "own", F.log(F.lit(float(total + 1)) / F.col("count")).alias("weight"))
     other = read_names.groupBy("kind", "other").count().select("kind", "other", F.log(F.lit(float(total + 1)) / F.col("count")).alias("other_weight"))
     weighted = read_names.join(own, ["kind", "own"]).join(other, ["kind", "other"])
-    near = _gram_pairs(read_names.select(F.col("own").alias("t")).distinct())
+    tokens = read_names.select(F.col("own").alias("t")).distinct()
+    near = materialise(_gram_pairs(tokens).unionByName(_slip_pairs(tokens)).distinct())  # read twice below
     same = read_names.select(F.col("own").alias("a"), F.col("own").alias("b")).distinct()
     near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
     side = weighted.select("name", "kind", "own", "other", "order", "weight", "other_weight", F.explode("keys").alias("key"))
