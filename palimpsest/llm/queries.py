@@ -37,9 +37,11 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _learnt(spark: SparkSession, d: str) -> tuple:
-    sample = table(spark, d, "episodes").select(F.col("content").alias("text")).unionByName(table(spark, d, "facts").select(F.col("statement").alias("text")))
-    f = table(spark, d, "facts")
-    return pii.learn(sample, f.select(F.col("subject").alias("name")), f.filter("predicate = 'lives_in'").select(F.col("object").alias("town")))
+    f = once(table(spark, d, "facts").select("id", "subject", "predicate", "object"), "id")
+    names = f.select(F.col("subject").alias("name")).unionByName(table(spark, d, "entities").select("name"))
+    towns = f.filter("predicate = 'lives_in'").select(F.col("object").alias("town"))
+    organisations = f.filter("predicate in ('works_at', 'studies_at')").select(F.col("object").alias("organisation"))
+    return pii.learn(_texts(spark, d).select("text"), names, towns, organisations)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -19,10 +19,12 @@ ROWS = [
 
 @pytest.fixture(scope="module")
 def learnt(spark):
-    names = ["leila finfites", "kofi ralgara", "uma polmorith", "jasvabol software", "heinrich menziven", "vera pasdurur"]
+    # persons and organisations are known from the tables alone, so the tables name those of the texts
+    names = ["leila finfites", "kofi ralgara", "uma polmorith", "jasvabol software", "heinrich menziven", "vera pasdurur", "michael fisbamuck", "rick tenrelim", "emma jurbobo"]
     fill = [f"{a} {b} {c}." for a in ("I keep forgetting", "I finally sorted out", "Tell me about") for b in ("the fog", "the plum tree", "my notes") for c in ("today", "after lunch", "again")]
     texts = spark.createDataFrame([(t,) for t, _ in ROWS for _ in range(3)] + [(t,) for t in fill] + [(None,)], "text string")
-    return pii.learn(texts, spark.createDataFrame([(n,) for n in names] + [(None,)], "name string"), spark.createDataFrame([("Altenfurt",), ("Altenfurt",), ("Marrowgate",), ("Marrowgate",), ("Lindhaven",), ("Lindhaven",)], "town string"))
+    return pii.learn(texts, spark.createDataFrame([(n,) for n in names] + [(None,)], "name string"), spark.createDataFrame([("Altenfurt",), ("Altenfurt",), ("Marrowgate",), ("Marrowgate",), ("Lindhaven",), ("Lindhaven",)], "town string"),
+                     spark.createDataFrame([("Jasvabol Software",), ("Pebra Software",), (None,)], "organisation string"))
 
 
 @pytest.mark.parametrize(("text", "want"), ROWS)
@@ -41,6 +43,39 @@ def test_rows_and_placeholders(spark, learnt):
     assert pii.find(df.filter("false"), *learnt).count() == 0
 
 
+def test_decoding_uses_the_field_alone(spark, learnt):
+    know, model = learnt
+    text = "My neighbour Leila Finfites has the spare key."
+    outside = 0 * model.weights
+    outside[:, 0] = 1.0
+    assert pii.spans(know, model, [text])[0]
+    assert not pii.spans(know, pii.Model(outside, model.chain, model.skip), [text])[0]  # no pattern finds what the weights do not
+
+
+def test_skip_edges_join_repeated_rare_words():
+    t = pii.Reader(pii.Knowledge()).read(["call 5550147 or write to Finfites, I mean the Finfites of 5550147", "Finfites"])
+    joined = {tuple(sorted(t.joined[t.start[i]:t.end[i]] for i in e)) for e in pii.skip_edges(t)}
+    assert ("Finfites", "Finfites") in joined
+    assert ("5550147", "5550147") in joined
+    assert all(t.doc[a] == t.doc[b] for a, b in pii.skip_edges(t))
+
+
+def test_paths_and_marginals_like_brute_force():
+    rng = np.random.default_rng(4)
+    S = len(pii.STATES)
+    first = np.array([0, 3, 3, 5])
+    unary, chain = rng.normal(size=(5, S)), rng.normal(size=(S, S)) + pii._allowed()
+    p, _ = pii._expect(unary, chain, first)
+    got = pii.viterbi(unary, chain, first)
+    for lo, hi in ((0, 3), (3, 5)):
+        scores = {y: sum(unary[lo + i, s] for i, s in enumerate(y)) + sum(chain[a, b] for a, b in zip(y, y[1:])) + (pii.FORBIDDEN if y[0] in pii.INSIDE else 0) for y in itertools.product(range(S), repeat=hi - lo)}
+        assert tuple(got[lo:hi]) == max(scores, key=scores.get)
+        z = np.logaddexp.reduce(list(scores.values()))
+        for i in range(hi - lo):
+            for s in (0, 1, 2, 9):
+                assert abs(p[lo + i, s] - sum(np.exp(v - z) for y, v in scores.items() if y[i] == s)) < 1e-6
+
+
 def test_messages_are_exact_on_trees():
     rng = np.random.default_rng(2)
     unary = rng.normal(size=(4, 3))
