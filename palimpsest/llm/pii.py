@@ -10,7 +10,7 @@ rare word or a number, or nearly so.  Texts without skip edges are decoded
 exactly; in the others loopy messages run along both kinds of edges until the
 labels of the text agree.  Nothing but the field decides.
 
-Training: a bounded sample (MAX_TRAIN texts by hash, two thirds of them texts
+Training: a bounded sample (MAX_TRAIN texts by hash, up to three fifths of them texts
 with longer numbers or marks of addresses and mails) is labelled by ``Teacher``: names are pairs of
 words that the tables know as a person; formats of mails, numbers and addresses are
 patterns with cue words.  Tokens of which the teacher is unsure take the label that the field itself gives them so far.
@@ -44,12 +44,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.sampling import hashed_sample
+from palimpsest.session import materialise
 
 LABELS = ("O", "email", "phone", "id_number", "address", "name")
 STATES = ("O", *(f"{b}-{k}" for k in LABELS[1:] for b in "BI"))
 KIND = np.array([0, *(k for k in range(1, len(LABELS)) for _ in "BI")])  # of each state
 BEGIN, INSIDE = np.arange(1, len(STATES), 2), np.arange(2, len(STATES), 2)
-MAX_TRAIN, SLOTS, WEIGHTS, TOKENS = 24_000, 1 << 20, 1 << 17, 200_000
+MAX_TRAIN, SLOTS, WEIGHTS, TOKENS = 20_000, 1 << 20, 1 << 17, 200_000
 ROUNDS, EPOCHS = 16, 6
 AGREEMENT = 1.0
 FORBIDDEN = -30.0
@@ -340,7 +341,7 @@ def features(t: Tokens, attributes: np.ndarray | None = None) -> np.ndarray:
     """The weights' row of each token and template."""
     a = t.attributes if attributes is None else attributes
     n = len(a)
-    out = np.empty((len(TEMPLATES), n), np.int64)
+    out = np.empty((len(TEMPLATES), n), np.int32)
     far = max(abs(d) for parts in TEMPLATES for _, d in parts)
     padded = {name: np.r_[np.full(far, -1), (t.gap if name == "gap" else a[:, A[name]]), np.full(far, -1)] for name in {x for parts in TEMPLATES for x, _ in parts}}
     docs = np.r_[np.full(far, -1), t.doc, np.full(far, -2)]
@@ -351,7 +352,7 @@ def features(t: Tokens, attributes: np.ndarray | None = None) -> np.ndarray:
             x = np.where(same[d], padded[name][far + d:far + d + n], -1).astype(np.uint64)
             value = (value ^ x) * np.uint64(0x9E3779B97F4A7C15)
             value ^= value >> np.uint64(29)
-        out[k] = (value % np.uint64(WEIGHTS)).astype(np.int64)
+        out[k] = (value % np.uint64(WEIGHTS)).astype(np.int32)
     return out
 
 
@@ -663,13 +664,17 @@ def learn(texts: DataFrame, names: DataFrame, towns: DataFrame, organisations: D
     spark = texts.sparkSession
     organisations = spark.createDataFrame([], "organisation string") if organisations is None else organisations
     texts = texts.filter("text is not null").select("text")
-    kinds, owns = kinds_and_owns(names, organisations)
-    persons = persons_of(names, towns, kinds, owns)
+    # each is read several times below; written once, they also keep the plans small
+    names, towns = materialise(names.select(F.trim(F.lower("name")).alias("name")).filter("name != ''").distinct()), materialise(towns.select(F.trim(F.lower("town")).alias("town")).groupBy("town").count())
+    towns = towns.filter("count > 1").select("town")
+    kinds, owns = (materialise(x) for x in kinds_and_owns(names, organisations))
+    persons = materialise(persons_of(names, towns, kinds, owns))
     know = knowledge(texts, persons, towns, kinds, owns)
     marked = F.col("text").rlike(r"\d{3}|\b\d{1,4}\s?[a-zA-Z]?,? (?:[\p{L}.'’-]+ ){1,4}?[\p{L}.]+(?: \w+ \d+)?,\s|@|\b(?i:at)\b.*\b(?i:dot)\b")
-    distinct = texts.dropDuplicates(["text"]).withColumn("marked", marked)
+    distinct = texts.groupBy("text").agg(F.first(marked).alias("marked"))
     rows = {r["marked"]: r["count"] for r in distinct.groupBy("marked").count().collect()}
-    sample = [r["text"] for m, n in ((True, max_train * 2 // 3), (False, max_train // 3)) for r in hashed_sample(distinct.filter(F.col("marked") == m).select("text"), n, "text", rows=rows.get(m, 0)).collect()]
+    share = min(rows.get(True, 0), max_train * 3 // 5)
+    sample = [r["text"] for m, n in ((True, share), (False, max_train - share)) for r in hashed_sample(distinct.filter(F.col("marked") == m).select("text"), n, "text", rows=rows.get(m, 0)).collect()]
     near = set()
     for t in sample:
         ws = [w.lower() for w in WORD.findall(t)]
