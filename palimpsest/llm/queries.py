@@ -72,7 +72,8 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    said = quality.forms(_scored(spark, d), table(spark, d, "doc_labels"))
+    stats = quality.described(table(spark, d, "documents"), table(spark, d, "common_words"))
+    said = quality.forms(stats, table(spark, d, "doc_labels"))
     return said.filter("form != 'prose'").select("doc_id", "form")
 
 

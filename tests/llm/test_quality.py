@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+import pytest
+
 from palimpsest.llm import quality as ql
 
 DOC = "doc_id bigint, text string, lang string, words string"
@@ -41,7 +44,7 @@ def test_tails_like_brute_force(spark):
 def test_forms(spark):
     d = docs(spark)
     labels = [(i, "prose") for i in range(20)] + [(100 + i, "list") for i in range(10)] + [(200 + i, "table") for i in range(10)] + [(300 + i, "junk") for i in range(10)] + [(5000, "list"), (None, "list"), (1, "other")]
-    got = {r["doc_id"]: r["form"] for r in ql.forms(ql.scored(d, common(spark)), spark.createDataFrame(labels, "doc_id bigint, form string"), trees=10).collect()}
+    got = {r["doc_id"]: r["form"] for r in ql.forms(ql.described(d, common(spark)), spark.createDataFrame(labels, "doc_id bigint, form string")).collect()}
     assert {got[i] for i in range(20, 30)} == {"prose"}
     assert {got[i] for i in range(110, 115)} == {"list"}
     assert {got[i] for i in range(210, 215)} == {"table"}
@@ -52,3 +55,27 @@ def test_forms(spark):
 
 def test_empty(spark):
     assert ql.scored(docs(spark).filter("false"), common(spark)).count() == 0
+
+
+def test_ranks_of_the_grid_like_brute_force(spark):
+    stats = ql.described(docs(spark), common(spark))
+    got = ql.ranks(ql.level_counts(stats)).toPandas()
+    pdf = stats.toPandas()
+    for r in got.sample(80, random_state=3).itertuples():
+        c = ql.COLUMNS[r.stat]
+        x = pdf[pdf.lang_group == r.lang_group][c]
+        steps = (40 * np.log2(1 + x)).apply(np.floor) if c in ql.COUNTS else (x * (5 if c in ql.LENGTHS else 1000)).round()
+        steps = steps.clip(0, ql.LEVELS - 1)
+        assert math.isclose(r.left, (steps <= r.value).mean(), abs_tol=1e-9)
+        assert math.isclose(r.right, (steps >= r.value).mean(), abs_tol=1e-9)
+
+
+def test_no_labels_no_forms(spark):
+    stats = ql.described(docs(spark), common(spark))
+    assert ql.forms(stats, spark.createDataFrame([(None, "list"), (1, "other")], "doc_id bigint, form string")).count() == 0
+
+
+def test_too_many_languages_are_an_error(spark):
+    many = spark.createDataFrame([(f"l{i}", "w") for i in range(ql.MAX_LANGUAGES)], "lang string, word string")
+    with pytest.raises(ValueError, match="languages"):
+        ql.statistics(docs(spark), many)
