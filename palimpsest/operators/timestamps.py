@@ -2,18 +2,23 @@
 
 Each value yields the array of all its valid readings: one per order of day
 and month, and one per side of a repeated local hour.  Every reading carries a
-cost (0 for the declared order and the earlier side).  A Viterbi pass over the
-record order of each source picks one reading per value, adding a penalty where
-the written form changes between neighbours and where time runs backwards.
-With ``declared=DECLARED`` the cost of going against the declared order exceeds
-all penalties one value can cause, so the declaration decides and the path only
-decides where nothing is declared.
-
-Scale: the chain of a source breaks exactly at every value with one reading.
-Sources are cut into blocks of record numbers; within a block all values
-between the first and the last such anchor are settled at once, and only the
-rows beyond those anchors go on to a second, much smaller pass over block
-borders.  No task ever holds more than one run without anchors.
+cost.  Against a declared order, and for the later side of a repeated hour, it
+is DECLARED; an order of ``any`` declares nothing, and both readings cost the
+same.  A Viterbi pass over the record order of each source picks one reading per
+value, adding a penalty where the written form changes between neighbours and
+where time runs backwards.  A null order is read as day first, as the tables say.
+
+A reading that costs more than the cheapest by over what both its neighbours can
+weigh (SLACK) can stand on no cheapest path and does not enter the pass; so where
+an order is declared, the declaration decides, and where none is, the path does.
+
+Scale: values are parsed once, and plain ISO forms in the JVM. The chain of a
+source breaks exactly at every value with one reading left. Sources are cut into
+blocks of record numbers; within a block all values between the first and the
+last such anchor are settled at once. Of the rows beyond those anchors each block
+gives the cheapest costs between the readings at its ends; a pass over these, one row per
+block, picks the ends, and then the blocks settle their rows. No task
+holds more than one block of a source.
 
 Nulls, blanks and unreadable values have no reading and break no chain: they
 pass through with ``n_readings`` 0 and null results.
@@ -32,10 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.session import materialise
+
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
 DECLARED = 50.0  # cost of the order that was not declared, and of the later side of a repeated hour
 SWITCH, BACKWARD = 1.0, 1.0
+SLACK = 2 * (SWITCH + BACKWARD)
 BLOCK = 65_536
+ANY = "any"  # the order of a source that declares none
 
 # English month names and their usual short forms.
 MONTHS = {m: k + 1 for k, names in enumerate((
@@ -145,10 +154,10 @@ def _read(name: str, g: dict, tz: str | None, order: str | None) -> list[tuple[i
         return [(us, False, form, 0.0)]
     if name == "numeric":
         a, b = int(g["a"]), int(g["b"])
-        mdy = (order or "dmy").strip().lower() == "mdy"
-        days = [(a, b, 1, DECLARED if mdy else 0.0), (b, a, 2, 0.0 if mdy else DECLARED)]
+        said = (order or "dmy").strip().lower()
+        days = [(a, b, 1, DECLARED if said == "mdy" else 0.0), (b, a, 2, 0.0 if said in ("mdy", ANY) else DECLARED)]
         if a == b:
-            days = [x for x in days if x[3] == 0.0]
+            days = [x for x in days if x[3] == 0.0][:1]
     else:
         month = MONTHS.get(g["mon"]) if g.get("mon") else int(g["m"])
         if month is None:
@@ -203,6 +212,24 @@ def instant_udf(value: pd.Series, tz: pd.Series, order: pd.Series) -> pd.Series:
     return pd.Series([declared_instant(v, z, o) for v, z, o in zip(value, tz, order)], dtype="Int64")
 
 
+def _plain(value: Column) -> Column:
+    """Microseconds of a full ISO form with its zone, else null."""
+    return F.when(value.rlike(r"^\d{4}-\d\d-\d\dT([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)$"), F.unix_micros(value.try_cast("timestamp")))
+
+
+def instant(value: Column, tz: Column, order: Column) -> Column:
+    """As ``instant_udf``; plain ISO forms stay in the JVM."""
+    plain = _plain(value)
+    return F.coalesce(plain, instant_udf(F.when(plain.isNull(), value), tz, order))
+
+
+def all_readings(value: Column, tz: Column, order: Column) -> Column:
+    """As ``readings_udf``; plain ISO forms stay in the JVM."""
+    plain = _plain(value)
+    one = F.array(F.struct(plain.alias("us"), F.lit(False).alias("dated"), F.lit(FORM_ID["iso"] * 4).alias("form"), F.lit(0.0).alias("cost")))
+    return F.when(plain.isNotNull(), one).otherwise(readings_udf(F.when(plain.isNull(), value), tz, order))
+
+
 def declared_instant(value: str | None, tz: str | None = None, order: str | None = None) -> int | None:
     got = readings(value, tz, order)
     return got[0][0] if got and got[0][3] < DECLARED else None
@@ -213,11 +240,11 @@ def transition(a: tuple, b: tuple) -> float:
     return SWITCH * (a[2] != b[2]) + BACKWARD * (b[0] < a[0])
 
 
-def viterbi(chain: list[list[tuple]]) -> list[int]:
-    """Cheapest path through the readings of a chain; ties go to the earlier reading in the array."""
+def viterbi(chain: list[list[tuple]], first: int | None = None, last: int | None = None) -> list[int]:
+    """Cheapest path through the readings of a chain, from and to a given reading if wanted; ties go to the earlier reading in the array."""
     if not chain:
         return []
-    cost, back = [r[3] for r in chain[0]], []
+    cost, back = [r[3] if first is None or j == first else float("inf") for j, r in enumerate(chain[0])], []
     for k in range(1, len(chain)):
         now, links = [], []
         for r in chain[k]:
@@ -226,7 +253,7 @@ def viterbi(chain: list[list[tuple]]) -> list[int]:
             links.append(best)
         cost = now
         back.append(links)
-    at = min(range(len(cost)), key=lambda j: (cost[j], j))
+    at = min(range(len(cost)), key=lambda j: (cost[j], j)) if last is None else last
     path = [at]
     for links in reversed(back):
         at = links[at]
@@ -234,78 +261,177 @@ def viterbi(chain: list[list[tuple]]) -> list[int]:
     return path[::-1]
 
 
+def between(chain: list[list[tuple]]) -> list[list[float]]:
+    """The cheapest costs from each reading of a chain's first value to each of its last."""
+    out = [[r[3] if i == j else float("inf") for j, r in enumerate(chain[0])] for i in range(len(chain[0]))]
+    for a, b in zip(chain, chain[1:]):
+        step = [[transition(x, y) + y[3] for y in b] for x in a]
+        out = [[min(row[i] + step[i][j] for i in range(len(a))) for j in range(len(b))] for row in out]
+    return out
+
+
+def eligible(rs: list[tuple]) -> list[int]:
+    """Places of the readings that may stand on a cheapest path."""
+    least = min(r[3] for r in rs)
+    return [k for k, r in enumerate(rs) if r[3] <= least + SLACK]
+
+
+KEY = ["field", "source", "block"]
 SETTLED = T.StructType([
     T.StructField("field", T.StringType()), T.StructField("source", T.StringType()), T.StructField("block", T.LongType()),
     T.StructField("ord", T.LongType()), T.StructField("row_id", T.StringType()), T.StructField("value", T.StringType()),
-    T.StructField("readings", READINGS), T.StructField("chosen", T.IntegerType()), T.StructField("border", T.BooleanType()),
+    T.StructField("readings", READINGS), T.StructField("chosen", T.IntegerType()), T.StructField("state", T.IntegerType()),
 ])
+INNER, EDGE, BORDER = 0, 1, 2  # settled; settled and an end of its block, on which other blocks depend; not settled
+ROW = SETTLED.names[:7]
 
 
 def _tuples(rs) -> list[tuple]:
     return [(r["us"], r["dated"], r["form"], r["cost"]) if isinstance(r, dict) else tuple(r) for r in rs]
 
 
-class _Chain:
-    """Rows of one source (closed) or of one block of it (open), settled run by run.
+class _Block:
+    """Rows of one block of a source, settled run by run.
 
-    A run ends at an anchor, a value with one reading. In an open block the rows
-    up to the first anchor and from the last one on depend on other blocks; they
-    come out unsettled, marked as border, the anchors among them as context.
+    Values with a choice between two anchors (values with one eligible reading)
+    are settled at once. Those before the first anchor and behind the last one depend on
+    other blocks: they come out unsettled, marked as border, with that anchor as context.
     """
 
-    def __init__(self, closed: bool):
-        self.closed, self.run, self.out, self.anchored = closed, [], [], False
+    def __init__(self):
+        self.out: list[tuple] = []
+        self._clear()
 
-    def _settle(self, upto: int) -> None:
-        for (row, _), k in list(zip(self.run, viterbi([r for _, r in self.run])))[:upto]:
-            if row is not None:
-                self.out.append((*row, k, False))
+    def _clear(self) -> None:
+        self.anchor, self.run = None, []  # (row, readings, place, state), the row None if it went out as border; rows with a choice behind it
 
     def add(self, row: tuple, rs: list[tuple]) -> None:
-        self.run.append((row, rs))
-        if len(rs) != 1:
+        may = eligible(rs)
+        if len(may) > 1:
+            self.run.append((row, rs, may))
             return
-        if self.anchored or self.closed:
-            self._settle(len(self.run) - 1)
-            self.run = self.run[-1:]
+        state = INNER
+        if self.anchor is None:
+            state = EDGE
+            if self.run:
+                self.out += [(*r, None, BORDER) for r, _, _ in self.run] + [(*row, None, BORDER)]
+                row = None
         else:
-            self.out += [(*r, None, True) for r, _ in self.run]
-            self.run = [(None, rs)]
-        self.anchored = True
+            old, before, at, was = self.anchor
+            if old is not None:
+                self.out.append((*old, at, was))
+            path = viterbi([[before[at]], *([x[k] for k in m] for _, x, m in self.run), [rs[may[0]]]])
+            self.out += [(*r, m[k], INNER) for (r, _, m), k in zip(self.run, path[1:])]
+        self.anchor, self.run = (row, rs, may[0], state), []
 
     def end(self) -> list[tuple]:
-        if self.closed:
-            self._settle(len(self.run))
-        else:
-            self.out += [(*r, None, True) for r, _ in self.run if r is not None]
-        out = self.out
-        self.run, self.out, self.anchored = [], [], False
+        if self.anchor is not None and self.anchor[0] is not None:
+            row, _, at, _ = self.anchor
+            self.out.append((*row, None, BORDER) if self.run else (*row, at, EDGE))
+        self.out += [(*r, None, BORDER) for r, _, _ in self.run]
+        self._clear()
+        return self.taken()
+
+    def taken(self) -> list[tuple]:
+        out, self.out = self.out, []
         return out
 
 
-def _pass(closed: bool):
-    cols = ["field", "source", "block", "ord", "row_id", "value", "readings"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, key = _Chain(closed), None
-        for pdf in batches:
-            done: list[tuple] = []
-            for row in pdf[cols].itertuples(index=False, name=None):
-                k = (row[0], row[1]) if closed else row[:3]
-                if k != key:
-                    done += chain.end()
-                    key = k
-                rs = _tuples(row[6])
-                chain.add((*row[:6], rs), rs)
-            done += chain.out
-            chain.out = []
-            if done:
-                yield pd.DataFrame(done, columns=SETTLED.names)
-        done = chain.end()
-        if done:
-            yield pd.DataFrame(done, columns=SETTLED.names)
+def _grouped(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple]:
+    """(key, row) of all batches in their order; a last (None, None) ends them."""
+    for pdf in batches:
+        names = list(pdf.columns)
+        at = [names.index(k) for k in key]
+        for row in pdf.itertuples(index=False, name=None):
+            yield tuple(row[k] for k in at), row
+    yield None, None
 
-    return run
+
+def _inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    block, now, done = _Block(), None, []
+    for key, row in _grouped((pdf[ROW] for pdf in batches), KEY):
+        if key != now:
+            done += block.end()
+            now = key
+        if len(done) > 20_000 or (key is None and done):
+            yield pd.DataFrame(done, columns=SETTLED.names)
+            done = []
+        if key is None:
+            return
+        rs = _tuples(row[6])
+        if row[1] is None or not rs:  # stands alone
+            done.append((*row[:6], rs, 0, INNER))
+        else:
+            block.add((*row[:6], rs), rs)
+            done += block.taken()
+
+
+ENDS = "field string, source string, block bigint, head array<struct<us:bigint,dated:boolean,form:int,cost:double>>, tail array<struct<us:bigint,dated:boolean,form:int,cost:double>>, costs array<array<double>>"
+
+
+def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each block the readings at its ends and the costs between them."""
+    chain, now, out = [], None, []
+    for key, row in _grouped((pdf[ROW] for pdf in batches), KEY):
+        if key != now and chain:
+            out.append((*now, chain[0], chain[-1], between(chain)))
+            chain = []
+        now = key
+        if key is None:
+            break
+        rs = _tuples(row[6])
+        chain.append([rs[k] for k in eligible(rs)])
+    if out:
+        yield pd.DataFrame(out, columns=["field", "source", "block", "head", "tail", "costs"])
+
+
+def _pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each block of a source the readings at its ends that the cheapest path takes."""
+    blocks, now, out = [], None, []
+    for key, row in _grouped(batches, ["field", "source"]):
+        if key != now and blocks:
+            best, froms = [min(row[j] for row in blocks[0][2]) for j in range(len(blocks[0][1]))], []
+            for (_, tail, _), (head, after, costs) in zip(blocks, blocks[1:]):
+                enter = [min((best[i] + transition(tail[i], r), i) for i in range(len(tail))) for r in head]
+                ways = [min((enter[a][0] + costs[a][j], a) for a in range(len(head))) for j in range(len(after))]
+                froms.append((enter, ways))
+                best = [w[0] for w in ways]
+            last = min(range(len(best)), key=lambda j: (best[j], j))
+            for k in range(len(blocks) - 1, -1, -1):
+                if k:
+                    enter, ways = froms[k - 1]
+                    first = ways[last][1]
+                else:
+                    first = min(range(len(blocks[0][0])), key=lambda a: (blocks[0][2][a][last], a))
+                out.append((*now, numbers[k], first, last))
+                last = froms[k - 1][0][first][1] if k else last
+            blocks = []
+        if not blocks:
+            numbers = []
+        now = key
+        if key is None:
+            break
+        numbers.append(row[2])
+        blocks.append((_tuples(row[3]), _tuples(row[4]), [list(c) for c in row[5]]))
+    if out:
+        yield pd.DataFrame(out, columns=["field", "source", "block", "first", "last"])
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each block along the cheapest path between its chosen ends."""
+    rows, now, out = [], None, []
+    for key, row in _grouped((pdf[[*ROW, "first", "last", "state"]] for pdf in batches), KEY):
+        if key != now and rows:
+            may = [eligible(rs) for _, rs in rows]
+            path = viterbi([[rs[k] for k in m] for (_, rs), m in zip(rows, may)], int(rows[0][0][7]), int(rows[0][0][8]))
+            out += [(*r[:6], rs, m[k], INNER) for (r, rs), m, k in zip(rows, may, path) if r[9] == BORDER]
+            rows = []
+        now = key
+        if key is None:
+            break
+        rows.append((row, _tuples(row[6])))
+    if out:
+        yield pd.DataFrame(out, columns=SETTLED.names)
 
 
 def normalise(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -316,21 +442,20 @@ def normalise(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     one row per row of the input; ``against`` tells a reading that goes against
     what was declared.
     """
-    read = rows.select(
-        "field", "source", F.floor(F.col("ord") / F.lit(block)).cast("long").alias("block"), F.col("ord").cast("long").alias("ord"),
-        "row_id", "value", readings_udf("value", "tz", "date_order").alias("readings"),
-    )
-    read = read.withColumn("alone", F.col("source").isNull() | (F.size("readings") == 0))
-    alone = read.filter("alone").select("field", "row_id", "value", "readings", F.lit(0).alias("chosen"))
-    chained = read.filter(~F.col("alone")).drop("alone")
-    first = (chained.repartition("field", "source", "block").sortWithinPartitions("field", "source", "block", "ord", "row_id")
-             .mapInPandas(_pass(False), SETTLED))
-    settled = first.filter(~F.col("border"))
-    border = first.filter("border").select("field", "source", "block", "ord", "row_id", "value", "readings")
-    second = (border.repartition("field", "source").sortWithinPartitions("field", "source", "ord", "row_id")
-              .mapInPandas(_pass(True), SETTLED))
+    # rows without source are spread by their id, so that no task gets all of them
+    number = F.when(F.col("source").isNull(), F.pmod(F.xxhash64("row_id"), F.lit(4096))).otherwise(F.floor(F.col("ord") / F.lit(block)))
+    read = rows.select("field", "source", number.cast("long").alias("block"), F.col("ord").cast("long").alias("ord"), "row_id", "value",
+                       all_readings(F.col("value"), F.col("tz"), F.col("date_order")).alias("readings"))
+    first = materialise(read.repartition(*KEY).sortWithinPartitions(*KEY, "ord", "row_id").mapInPandas(_inside, SETTLED))  # read three times below
+    # the ends of settled blocks stand between unsettled ones of their source
+    unsettled = first.filter(F.col("state") == BORDER).select("field", "source").distinct()
+    border = first.filter(F.col("state") != INNER).select(*ROW, "state").join(unsettled, ["field", "source"], "left_semi")
+    in_order = lambda df, *key: df.repartition(*key).sortWithinPartitions(*key, "ord", "row_id")
+    ends = in_order(border.drop("state"), *KEY).mapInPandas(_ends, ENDS)
+    picked = ends.repartition("field", "source").sortWithinPartitions(*KEY).mapInPandas(_pick, "field string, source string, block bigint, first int, last int")
+    second = in_order(border.join(picked, KEY), *KEY).mapInPandas(_settle, SETTLED)
     pick = ["field", "row_id", "value", "readings", "chosen"]
-    all_rows = alone.unionByName(settled.select(pick)).unionByName(second.select(pick))
+    all_rows = first.filter(F.col("state") != BORDER).select(pick).unionByName(second.select(pick))
     r = F.expr("try_element_at(readings, chosen + 1)")
     return all_rows.select("field", "row_id", "value", r["us"].alias("us"), r["dated"].alias("dated"),
                            (r["cost"] >= F.lit(DECLARED)).alias("against"), F.size("readings").alias("n_readings"))

@@ -56,7 +56,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     meta = once(table(spark, d, "session_meta").filter("owner is not null").select("session_id", "owner", "tz", "date_order"), "session_id")
     turns = once(table(spark, d, "episodes").select("id", "session_id", "role", "ts").filter(F.lower(F.trim("role")).isin(*USER_SIDE)).drop("role"), "id")
     events = turns.join(meta, "session_id").select(
-        F.col("id").alias("event_id"), spelling(F.col("owner")).alias("entity"), ts.instant_udf("ts", "tz", "date_order").alias("at_us"))
+        F.col("id").alias("event_id"), spelling(F.col("owner")).alias("entity"), ts.instant(F.col("ts"), F.col("tz"), F.col("date_order")).alias("at_us"))
     told = once(table(spark, d, "facts").select(*FACT_TIMES).filter(F.col("predicate").isin("lives_in", "works_at") & (F.coalesce(F.trim("scope"), F.lit("")) == "")), "id")
     f = told.select(
         spelling(F.col("subject")).alias("entity"), F.col("predicate").alias("attribute"), "id", iso_micros(F.col("ingested_at")).alias("ingested_us"),

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import timestamps as ts
 
@@ -70,5 +71,43 @@ def test_blocks_settle_like_whole_sources(spark):
         assert (None if against else us) == ts.declared_instant(r[4], r[5], r[6])
 
 
+def cheapest(chain):
+    """Cost of the best path, by brute force over prefixes."""
+    cost = {k: r[3] for k, r in enumerate(chain[0])}
+    for a, b in zip(chain, chain[1:]):
+        cost = {j: min(cost[i] + ts.transition(a[i], r) for i in cost) + r[3] for j, r in enumerate(b)}
+    return min(cost.values())
+
+
+@pytest.mark.parametrize("block", [3, 11, 1000])
+def test_the_path_decides_where_no_order_is_declared(spark, block):
+    rnd = random.Random(8)
+    rows, at = [], 0
+    for i in range(240):
+        source = "none" if i % 2 else rnd.choice("ab")  # "none" has no value with one reading
+        v = f"{rnd.randrange(1, 13):02d}/{rnd.randrange(1, 13):02d}/2024 10:00" if source == "none" or rnd.random() < 0.8 else rnd.choice(["2024-04-03T10:00:00Z", "14/05/2024 10:00", "05/14/2024 10:00", None])
+        rows.append(("f", source, i, str(i), v, "UTC", "any"))
+    got = {r["row_id"]: r["us"] for r in ts.normalise(spark.createDataFrame(rows, ROWS), block=block).collect()}
+    assert len(got) == 240
+    for source in ("none", "a", "b"):
+        mine = [(ts.readings(r[4], "UTC", "any"), got[r[3]]) for r in rows if r[1] == source]
+        chain = [rs for rs, _ in mine if rs]
+        path = [next(r for r in rs if r[0] == us) for rs, us in mine if rs]
+        assert sum(r[3] for r in path) + sum(ts.transition(a, b) for a, b in zip(path, path[1:])) == pytest.approx(cheapest(chain))
+
+
+def test_the_path_changes_a_reading(spark):
+    rows = [("f", "s", i, str(i), v, "UTC", "any") for i, v in enumerate(["25/03/2024 10:00", "02/04/2024 10:00", "28/04/2024 10:00"])]
+    rows += [("f", "t", i, f"t{i}", v, "UTC", "any") for i, v in enumerate(["03/25/2024 10:00", "04/02/2024 10:00", "04/28/2024 10:00"])]
+    got = {r["row_id"]: r["us"] for r in ts.normalise(spark.createDataFrame(rows, ROWS)).collect()}
+    assert [got[str(i)] for i in range(3)] == [got[f"t{i}"] for i in range(3)]  # the same days, each source in its own order
+
+
+def test_plain_forms_are_read_alike_in_the_jvm(spark):
+    values = ["2024-05-10T09:24:27Z", "2024-05-10T09:24:27.5+05:30", "2024-02-31T00:00:00Z", "2024-05-10T25:00:00Z", "2024-05-10", "5 May 2024", None, "", "9999-12-31T23:59:59Z", "0001-01-01T00:00:00Z"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", ts.instant(F.col("v"), F.lit("UTC"), F.lit(None).cast("string")).alias("us"))
+    assert {r["v"]: r["us"] for r in df.collect()} == {v: ts.declared_instant(v, "UTC") for v in values}
+
+
 def test_empty_table(spark):
     assert ts.normalise(spark.createDataFrame([], ROWS)).count() == 0
