@@ -1,14 +1,15 @@
 """Attributes as they were known at an event's time.
 
 Facts of one entity and attribute enter a persistent (path-copied) search tree
-in the order in which they became known; each insertion copies the path from the
+in the order in which they were ingested; each insertion copies the path from the
 root and leaves all older roots intact.  An event picks the root that was
-current at its own time and searches it for the greatest key (start, ingestion,
+current at its own time, which holds all that was known then, facts that begin later
+included, and searches it by valid time: the greatest key (start, ingestion,
 id) whose start is not after the event.  Nothing learned later can be reached.
 
-Scale: a fact can be seen from ``max(start, ingestion)`` on, so an entity's line
-is cut into slices of time. A slice needs only the facts that become visible in
-it and one row carried in per attribute, the best seen before. The slices of all
+Scale: a fact can be an answer from ``max(start, ingestion)`` on, so an entity's line
+is cut into slices of time. A slice needs only the facts that begin or are ingested in
+it, the other time being no later, and one row carried in per attribute, the best of those before. The slices of all
 entities are spread by hash and streamed in order, so a task holds one slice of
 one entity at a time, however many rows the entity has.
 """
@@ -35,7 +36,7 @@ class PersistentTree:
         self.known: list[int] = []
 
     def insert(self, known: int, key: tuple, value: object) -> None:
-        """Add a key that became known at ``known`` (not before any earlier one)."""
+        """Add a key that became known at ``known`` (not before any added earlier)."""
         self.roots.append(_insert(self.roots[-1], key, hash((key, 0x9E3779B9)) & 0xFFFFFFFF, value))
         self.known.append(known)
 
@@ -86,7 +87,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (entity, part) != key:
                 key, trees = (entity, part), {}
             if kind == 0:
-                trees.setdefault(attribute, PersistentTree()).insert(at, (start, ingested, i), ended)
+                trees.setdefault(attribute, PersistentTree()).insert(ingested, (start, ingested, i), ended)
                 continue
             for a, tree in trees.items():
                 hit = tree.before(at, (at, float("inf"), float("inf")))
@@ -120,8 +121,8 @@ def as_known(events: DataFrame, facts: DataFrame, slice_us: int = SLICE_US) -> D
     carried = line.select("entity", "attribute", "slice", "ask", F.max("top").over(past).alias("top")).filter("ask = 1 and top is not null")
     nothing = F.lit(None).cast("long")
     rows = (
-        carried.select("entity", "slice", "attribute", F.lit(0).alias("kind"), F.greatest("top.start_us", "top.ingested_us").alias("at"), F.col("top.id").alias("id"), "top.start_us", "top.ingested_us", "top.ended_us")
-        .unionByName(f.join(wanted, ["entity", "slice"], "left_semi").select("entity", "slice", "attribute", F.lit(0).alias("kind"), "at", "id", "start_us", "ingested_us", "ended_us"))
+        carried.select("entity", "slice", "attribute", F.lit(0).alias("kind"), F.col("top.ingested_us").alias("at"), F.col("top.id").alias("id"), "top.start_us", "top.ingested_us", "top.ended_us")
+        .unionByName(f.join(wanted, ["entity", "slice"], "left_semi").select("entity", "slice", "attribute", F.lit(0).alias("kind"), F.col("ingested_us").alias("at"), "id", "start_us", "ingested_us", "ended_us"))
         .unionByName(e.select("entity", "slice", F.lit(None).cast("string").alias("attribute"), F.lit(1).alias("kind"), F.col("at_us").alias("at"), F.col("event_id").alias("id"), nothing.alias("start_us"), nothing.alias("ingested_us"), nothing.alias("ended_us")))
     )
     return rows.repartition("entity", "slice").sortWithinPartitions("entity", "slice", "kind", "at").mapInPandas(_search, "event_id long, attribute string, fact_id long")

@@ -71,3 +71,12 @@ def test_as_known_matches_brute_force(spark):
         got = [tuple(r) for r in asof.as_known(e, f, slice_us=width).collect()]
         assert set(got) == want
         assert len(got) == len(want)
+
+
+def test_what_is_known_early_waits_for_its_start(spark):
+    """A fact told in advance is in the root of the event but must not be found before it begins."""
+    facts = [("a", "p", 1, 10, 10, None), ("a", "p", 2, 50, 20, None), ("a", "p", 3, 30, 60, None)]
+    f = spark.createDataFrame(facts, "entity string, attribute string, id bigint, start_us bigint, ingested_us bigint, ended_us bigint")
+    e = spark.createDataFrame([(t, "a", t) for t in (5, 25, 45, 55, 65)], "event_id bigint, entity string, at_us bigint")
+    for width in (7, 1000):
+        assert {r["event_id"]: r["fact_id"] for r in asof.as_known(e, f, slice_us=width).collect()} == {25: 1, 45: 1, 55: 2, 65: 2}
