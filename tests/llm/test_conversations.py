@@ -37,6 +37,47 @@ def test_rules(spark, tmp_path):
     assert kept(spark, tmp_path, rows) == {"ok": [1, 2, 4, 5, 6], "late": [11, 10], "border": [90, 91], "tie": [94, 95]}
 
 
+def live(spark, tmp_path, files, **kw):
+    """Conversations of files that arrive one after the other, a trigger each."""
+    path = os.path.join(str(tmp_path), "live")
+    cols = "session_id string, id bigint, us bigint, side string, blank boolean, content_key string"
+    for k, rows in enumerate(files):
+        spark.createDataFrame([(s, i, int(day * cv.DAY_US), side, False, str(i)) for s, i, day, side in rows], cols).coalesce(1).write.mode("append").parquet(path)
+        newest = max((f.path for f in os.scandir(path) if f.name.startswith("part-")), key=os.path.getmtime)
+        os.utime(newest, (1_700_000_000 + k * 60,) * 2)
+    got = cv.run(spark, spark.readStream.schema(cols).option("maxFilesPerTrigger", 1).parquet(path), **kw).collect()
+    return {s: [r["id"] for r in sorted(got, key=lambda r: r["turn_no"]) if r["session_id"] == s] for s in {r["session_id"] for r in got}}
+
+
+def test_a_row_within_the_lateness_still_counts(spark, tmp_path):
+    files = [[("s", 1, 10.1, "user"), ("s", 3, 10.3, "user")], [("other", 9, 11.5, "user")], [("s", 2, 10.2, "reply")], [("s", 4, 10.4, "reply")], [("other", 8, 30.0, "system")]]
+    assert live(spark, tmp_path, files, lateness_us=3 * cv.DAY_US) == {"s": [1, 2, 3, 4]}
+
+
+def test_a_row_behind_the_lateness_is_dropped(spark, tmp_path):
+    files = [[("s", 1, 10.1, "user"), ("s", 2, 10.2, "reply")], [("far", 9, 20.0, "user")], [("far", 8, 20.1, "reply")], [("s", 3, 10.3, "user")]]
+    assert live(spark, tmp_path, files, lateness_us=cv.DAY_US) == {"s": [1, 2], "far": [9, 8]}
+
+
+def test_timeout_ends_a_session(spark, tmp_path):
+    """Of a stream that goes on, sessions come out that were silent for the gap, sound ones only."""
+    files = [[("a", 1, 10.1, "user"), ("a", 2, 10.2, "reply"), ("open", 5, 10.1, "user")], [("b", 3, 13.0, "user"), ("b", 4, 13.1, "reply")], [("c", 6, 40.0, "user"), ("c", 7, 40.1, "reply")], [("d", 8, 80.0, "user")], [("d", 9, 90.0, "user")]]
+    got = live(spark, tmp_path, files, gap_us=5 * cv.DAY_US)
+    assert got["a"] == [1, 2]
+    assert got["b"] == [3, 4]
+    assert "open" not in got
+    assert "d" not in got
+
+
+def test_only_the_named_file_is_read(spark, tmp_path):
+    path = os.path.join(str(tmp_path), "episodes.parquet")
+    rows = [(1, "s", "user", "q", "2024-01-01T00:00:00Z", None), (2, "s", "bot", "a", "2024-01-01T00:00:01Z", None)]
+    spark.createDataFrame(rows, COLS).write.parquet(path)
+    spark.createDataFrame([(3, "s", "user", "q", "2024-01-01T00:00:02Z", None)], COLS).write.parquet(path + ".old")
+    meta = spark.createDataFrame([], META)
+    assert sorted(r["id"] for r in cv.rebuild(spark, path, meta).collect()) == [1, 2]
+
+
 def test_empty_table(spark, tmp_path):
     assert kept(spark, tmp_path, []) == {}
 
