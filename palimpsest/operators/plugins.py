@@ -11,6 +11,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -66,20 +67,27 @@ class Reranker(Protocol):
     def rerank(self, query: str, docs: list[str]) -> list[float]: ...
 
 
+_DIGESTS = {"blake2b": lambda b: int.from_bytes(hashlib.blake2b(b, digest_size=4).digest(), "big"), "md5": lambda b: int.from_bytes(hashlib.md5(b, usedforsecurity=False).digest()[:4], "big")}
+
+
+@lru_cache(maxsize=500_000)
+def _bucket(gram: str, digest: str) -> int:
+    return _DIGESTS[digest](gram.encode("utf-8", "surrogatepass"))
+
+
 @dataclass(frozen=True)
 class HashEmbedder:
     """Counts of character 3- and 4-grams in hashed buckets, of unit length."""
 
     dim: int = 256
+    digest: str = "blake2b"
 
     def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
             t = (t or "").lower()
-            for n in (3, 4):
-                for k in range(len(t) - n + 1):
-                    h = hashlib.blake2b(t[k:k + n].encode(), digest_size=4).digest()
-                    out[i, int.from_bytes(h, "big") % self.dim] += 1
+            at = [_bucket(t[k:k + n], self.digest) % self.dim for n in (3, 4) for k in range(len(t) - n + 1)]
+            out[i] = np.bincount(at, minlength=self.dim) if at else 0
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norm == 0, 1, norm)).tolist()
 
@@ -92,10 +100,13 @@ class OverlapReranker:
         return [float(len(q & set(d.lower().split()))) for d in docs]
 
 
-def embed(df: DataFrame, text: str, embedder: Embedder, out: str = "emb", limit: int = 4000) -> DataFrame:
-    """Add vectors of the first ``limit`` characters, as embedders see no more; a batch must give one vector per text."""
+def embed(df: DataFrame, text: str, embedder: Embedder, out: str = "emb", limit: int | None = 4000, element: T.DataType = T.FloatType()) -> DataFrame:
+    """Add vectors of texts; a batch must give one vector per text.
+
+    Model servers read a bounded beginning of a text, ``limit`` characters; None gives the whole text.
+    """
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    @F.pandas_udf(T.ArrayType(element))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             got = embedder.embed([(t or "")[:limit] for t in s])

@@ -91,15 +91,7 @@ def _(s, d):
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")).cast("bigint")).filter("rank <= 3")
 
 
-@C.add("mut07_observation_digests", """select subject, predicate, scope, count(*) as n, string_agg(statement, '; ' order by valid_from, id) as digest from fa where kind != 'observation' and invalid_at is null and subject != '' and subject != 'user' and statement is not null group by 1, 2, 3 having count(*) >= 3""", "fa")
-def _(s, d):
-    """Digests of what still holds, by subject, predicate and scope; 'user', who is everybody, has none."""
-    f = fa(s, d).filter("kind != 'observation' and invalid_at is null and subject != '' and subject != 'user' and statement is not null")
-    g = f.groupBy("subject", "predicate", "scope").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("valid_from", "id", "statement"))).alias("r")).filter("n >= 3")
-    return g.select("subject", "predicate", "scope", "n", F.array_join(F.transform("r", lambda x: x["statement"]), "; ").alias("digest"))
-
-
-@C.add("mut07_observation_digests_all", """select subject, predicate, scope, count(*) as n, string_agg(statement, '; ' order by valid_from, id) as digest from fa where kind != 'observation' and invalid_at is null and subject != '' and statement is not null group by 1, 2, 3 having count(*) >= 3""", "fa")
+@C.add("mut07_observation_digests", """select subject, predicate, scope, count(*) as n, string_agg(statement, '; ' order by valid_from, id) as digest from fa where kind != 'observation' and invalid_at is null and subject != '' and statement is not null group by 1, 2, 3 having count(*) >= 3""", "fa")
 def _(s, d):
     """Digests of every subject, 'user' included; large ones from pieces by month."""
     f = fa(s, d).filter("kind != 'observation' and invalid_at is null and subject != '' and statement is not null")
@@ -230,20 +222,7 @@ def _(s, d):
     return lifecycle.violations(bad, "user_id").filter("violations > 0").agg(F.count("*").alias("chains"))
 
 
-@C.add("hsh01_session_digest", "select session_id, sha256(string_agg(sha256(coalesce(role, '') || chr(1) || coalesce(content, '')), '' order by id)) as hash from ep where session_id is not null and session_id != 'capture-inbox' group by 1", "ep")
-def _(s, d):
-    return lifecycle.session_hash(ep(s, d).filter("session_id is not null and session_id != 'capture-inbox'"))
-
-
-@C.add("mut13_session_stamps", "select f.id as fact_id, count(e.id) as edges from fa f join ep e on e.session_id = f.session_id where f.session_id != 'capture-inbox' group by 1", "fa ep")
-def _(s, d):
-    """Each fact stems from every turn of its session."""
-    f = fa(s, d).filter("session_id is not null and session_id != 'capture-inbox'").select(F.col("id").alias("fact_id"), "session_id")
-    n = ep(s, d).filter("session_id is not null").groupBy("session_id").agg(F.count("*").alias("edges"))
-    return f.join(n, "session_id").select("fact_id", "edges")
-
-
-@C.add("hsh01_session_digest_all", "select session_id, sha256(string_agg(sha256(coalesce(role, '') || chr(1) || coalesce(content, '')), '' order by id)) as hash from ep where session_id is not null group by 1", "ep")
+@C.add("hsh01_session_digest", "select session_id, sha256(string_agg(sha256(coalesce(role, '') || chr(1) || coalesce(content, '')), '' order by id)) as hash from ep where session_id is not null group by 1", "ep")
 def _(s, d):
     """Digests of every session, the shared one included."""
     row = F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("\x01"), F.coalesce("content", F.lit(""))), 256)
@@ -251,7 +230,7 @@ def _(s, d):
     return got.select("session_id", F.sha2("text", 256).alias("hash"))
 
 
-@C.add("mut13_session_stamps_all", "select f.id as fact_id, count(e.id) as edges from fa f join ep e on e.session_id = f.session_id group by 1", "fa ep")
+@C.add("mut13_session_stamps", "select f.id as fact_id, count(e.id) as edges from fa f join ep e on e.session_id = f.session_id group by 1", "fa ep")
 def _(s, d):
     """Each fact stems from every turn of its session, the shared one included."""
     f = fa(s, d).filter("session_id is not null").select(F.col("id").alias("fact_id"), "session_id")

@@ -11,10 +11,12 @@ from palimpsest.functions import text as tx
 from palimpsest.operators import fusion, graph, lexical, plugins, vector
 from palimpsest.operators.neighbours import with_neighbours
 from palimpsest.plans.base import Catalogue, al, ep, fa, gold, lk, qs
-from palimpsest.plans.text_queries import _ANCHORED, _anchored, _channels, _intent, _LX, _semantic
+from palimpsest.plans.text_queries import _ANCHORED, _FX, _anchored, _channels, _intent, _LX, _semantic_sql, semantic
+from palimpsest.session import materialise
 from palimpsest.sources.tables import table
 
 C = Catalogue()
+NAME_COSINE = 0.3  # fixed value: least similarity of a name to a question
 
 
 @C.add("src04_point_lookup", "select id, statement, valid_from from fa where id = 7", "fa")
@@ -69,10 +71,10 @@ def _(s, d):
     return plugins.parse_facts(r).select(F.col("session_id").cast("bigint").alias("id"), "predicate")
 
 
-@C.add("jn05_alias_containment", """with v as (select distinct alias as name, list_distinct(regexp_extract_all(alias, '[a-z][a-z0-9''-]+')) t from al), q as (select id as qid, list_distinct(regexp_extract_all(lower(statement), '[a-z][a-z0-9''-]+')) w from fa where predicate = 'mentioned')
+@C.add("jn05_alias_containment", """with v as (select distinct alias as name, list_distinct(regexp_extract_all(alias, '[a-z][a-z0-9''-]+')) t from al), q as (select id as qid, list_distinct(regexp_extract_all(lower(statement), '[a-z][a-z0-9''-]+')) w from fa)
     select qid, name from (select q.qid, v.name, row_number() over (partition by q.qid order by v.name) r from q, v where len(v.t) > 0 and len(list_intersect(v.t, q.w)) = len(v.t)) where r <= 10""", "fa al")
 def _(s, d):
-    q = fa(s, d).filter("predicate = 'mentioned'").select(F.col("id").alias("qid"), F.col("statement").alias("question"))
+    q = fa(s, d).select(F.col("id").alias("qid"), F.col("statement").alias("question"))
     return graph.contained(q, al(s, d).select(F.col("alias").alias("name")).distinct())
 
 
@@ -106,13 +108,7 @@ def _(s, d):
     return lex.select("qid", "id", fusion.by_rank().cast("bigint").alias("rank"))
 
 
-@C.add("win11_gap_markers", "select id, id != lag(id) over (partition by session_id order by id) + 1 as gap from ep where session_id is not null and session_id != 'capture-inbox'", "ep")
-def _(s, d):
-    w = Window.partitionBy("session_id").orderBy("id")
-    return ep(s, d).filter("session_id is not null and session_id != 'capture-inbox'").select("id", (F.col("id") != F.lag("id").over(w) + 1).alias("gap"))
-
-
-@C.add("win11_gap_markers_all", "select id, id != lag(id) over (partition by session_id order by id) + 1 as gap from ep where session_id is not null", "ep")
+@C.add("win11_gap_markers", "select id, id != lag(id) over (partition by session_id order by id) + 1 as gap from ep where session_id is not null", "ep")
 def _(s, d):
     """Gap markers of every session, the shared one included."""
     n = with_neighbours(ep(s, d).filter("session_id is not null").select("session_id", "id"), ["session_id"], "id", ["id"], 65_536, nxt=None)
@@ -203,19 +199,47 @@ def _(s, d):
     return qs(s, d).select("qid", F.substring(F.sha2("qid", 256), 1, 10).alias("opaque"), F.sha1("question").alias("cache_key"))
 
 
+def question_names(s, d):
+    """``qid, name``: names of the vocabulary that a question holds, what its aliases stand for, and names near to it by their letters."""
+    q = qs(s, d).select("qid", "question")
+    said = graph.contained(q, al(s, d).select(F.col("alias").alias("name")).distinct()).withColumnRenamed("name", "alias")
+    meant = said.join(al(s, d), "alias").select("qid", F.col("canonical").alias("name"))
+    near = C.run["jn08_name_vectors"](s, d).select("qid", "name")
+    return graph.contained(q, lk(s, d).select("name").distinct()).unionByName(meant).unionByName(near).distinct()
+
+
+_IN_QUESTION = r"""(select qid, name from (select q.qid, v.name, row_number() over (partition by q.qid order by v.name) r from qs q, (select distinct {col} as name from {rel}) v,
+    lateral (select list_distinct(regexp_extract_all(lower(v.name), '[a-z][a-z0-9''-]+')) t, list_distinct(regexp_extract_all(lower(q.question), '[a-z][a-z0-9''-]+')) w) where len(t) > 0 and len(list_intersect(t, w)) = len(t)) where r <= 10)"""
+_NEAR = f"nv as (select distinct name from lk), {_semantic_sql('sx', 8, 'nv', 'name', 'name')}"
+_NAMES = f"""{_NEAR}, qn as (select qid, name from {_IN_QUESTION.format(col="name", rel="lk")} union select a.qid, al.canonical from {_IN_QUESTION.format(col="alias", rel="al")} a join al on al.alias = a.name union select qid, id from sx where score >= {NAME_COSINE})"""
+_HOPS = f"""{_NAMES}, h1 as (select * from (select *, row_number() over (partition by qid order by matched desc, fact_id) as rank from (select qid, fact_id, count(*) matched from qn join lk using (name) group by 1, 2)) where rank <= 20),
+    n2 as (select qid, name from (select *, row_number() over (partition by qid order by name) r from (select distinct h.qid, l.name from h1 h join lk l using (fact_id) where not exists (select 1 from qn where qn.qid = h.qid and qn.name = l.name))) where r <= 20),
+    h2 as (select * from (select *, row_number() over (partition by qid order by matched desc, fact_id) as rank from (select qid, fact_id, count(*) matched from n2 join lk using (name) group by 1, 2) g
+      where not exists (select 1 from h1 where h1.qid = g.qid and h1.fact_id = g.fact_id)) where rank <= 20)"""
+
+
 def _entity_channel(s, d, k: int = 20):
-    """Turns' questions name few entities here, so the names are those of the questions' evidence facts."""
-    names = gold(s, d).join(fa(s, d).filter("episode_id is not null").select(F.col("episode_id").alias("id"), F.col("id").alias("fact_id")), "id").join(lk(s, d), "fact_id").select("qid", "name").distinct()
+    names = materialise(question_names(s, d))  # read four times below
     one = graph.hop_one(names, lk(s, d), k)
     return one, graph.hop_two(names, lk(s, d), one, k)
 
 
-@C.add("ret05_entity_channel")
+@C.add("ret05_entity_channel", f"with {_HOPS} select qid, fact_id, matched, cast(rank as bigint) as rank, 1 as hop from h1 union all select qid, fact_id, matched, cast(rank as bigint), 2 from h2", "qs lk al")
 def _(s, d):
+    """Facts of the names in the question, and of the names that those facts bear."""
     one, two = _entity_channel(s, d)
     return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
 
 
+@C.add("jn08_name_vectors", f"with {_NEAR} select qid, id as name, score, cast(rank as bigint) as rank from sx where score >= {NAME_COSINE}", "qs lk")
+def _(s, d):
+    """Names nearest to each question, at most eight, by the vectors of their letters."""
+    names = lk(s, d).select(F.col("name").alias("text")).distinct().withColumn("id", F.xxhash64("text"))
+    near = semantic(s, d, 64, names)  # equal scores go by name, so the cut comes after the names are back
+    ranked = near.join(names, "id").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "text")).cast("bigint"))
+    return ranked.filter(f"rank <= 8 and score >= {NAME_COSINE}").select("qid", F.col("text").alias("name"), "score", "rank")
+
+
 @C.add("ret06_temporal_channel", f"""with d as (select id, try_cast(regexp_extract(ts, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') as date) dy from ep), x as (select distinct qid, try_cast(regexp_extract(question_date, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') as date) qd from qs where {_intent('question', 'temporal')}),
     r as (select qid, id, row_number() over (partition by qid order by id) n from x join d on d.dy = x.qd) select qid, id, cast(n as bigint) as rank from r where n <= 10""", "ep qs")
 def _(s, d):
@@ -228,12 +252,14 @@ def _(s, d):
 
 @C.add("ret07_rank_fusion")
 def _(s, d):
-    """All six ranked channels by reciprocal ranks, doubles dropped, superseded facts last; rows only."""
+    """All six ranked channels by reciprocal ranks, facts among the semantic hits, doubles dropped, superseded facts last; rows only."""
     ch = _channels(s, d)
     one, two = _entity_channel(s, d)
     fact = lambda h: h.select("qid", F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), "rank")
-    vec = _semantic(s, d, 20).select("qid", F.lit("episode").alias("kind"), "id", "rank")
-    fused = fusion.reciprocal_ranks({"bm25": ch["bm25"], "key": ch["key"], "vec": vec, "entity": fact(one), "hop2": fact(two)})
+    near = ch["vec"].filter("rank <= 20").select("qid", "kind", "id", "rank")
+    facts = semantic(s, d, 20, fa(s, d).select("id", F.col("statement").alias("text"))).select("qid", F.lit("fact").alias("kind"), "id", "rank")
+    dated = C.run["ret06_temporal_channel"](s, d).select("qid", F.lit("episode").alias("kind"), "id", "rank")
+    fused = fusion.reciprocal_ranks({"bm25": ch["bm25"], "key": ch["key"], "vec": near.unionByName(facts), "entity": fact(one), "hop2": fact(two), "temporal": dated})
     r = fused.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "kind", "id")))
     e = ep(s, d).select(F.lit("episode").alias("kind"), "id", "session_id", "content", F.lit(False).alias("old"))
     f = fa(s, d).select(F.lit("fact").alias("kind"), "id", "session_id", F.col("statement").alias("content"), F.col("invalid_at").isNotNull().alias("old"))
@@ -249,8 +275,8 @@ def _(s, d):
     return plugins.rerank(j, plugins.OverlapReranker(), 48, 0.5)
 
 
-@C.add("ret10_fusion_variants", f"""{_LX}, v as (select g.qid, g.id, row_number() over (partition by g.qid order by g.id) rank from gold g join ep on ep.id = g.id)
-    select qid, id, round(sum(61.0 / (60 + rank)), 6) as score from (select qid, doc_id id, rank from lx union all select qid, id, rank from v) group by 1, 2""", "ep qs gold")
+@C.add("ret10_fusion_variants", f"""{_LX}, {_semantic_sql("v", 50)}
+    select qid, id, round(sum(61.0 / (60 + rank)), 6) as score from (select qid, doc_id id, rank from lx union all select qid, id, rank from v) group by 1, 2""", "ep qs")
 def _(s, d):
     ch = _channels(s, d)
     both = ch["bm25"].select("qid", "id", "rank").unionByName(ch["vec"].select("qid", "id", F.col("rank").cast("bigint").alias("rank")))
@@ -262,7 +288,7 @@ def _(s, d):
     return s.createDataFrame([(n, p.k, p.hops) for n, p in plugins.PROFILES.items()], "profile string, k int, hops int")
 
 
-@C.add("ret16_evidence_with_facts")
+@C.add("ret16_evidence_with_facts", f"{_LX}, {_FX} select qid, 'fact' as kind, doc_id as id, cast(rank as bigint) as rank from fx where rank <= 10 union all select qid, 'episode', doc_id, cast(rank as bigint) from lx where rank <= 10", "ep fa qs")
 def _(s, d):
     """A block of facts from the lexical channel of statements, and the turns, side by side."""
     ch = _channels(s, d)

@@ -193,10 +193,10 @@ def _(s, d):
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z][a-z0-9''-]+'))"
 
 
-@C.add("jn04_entity_containment", f"""with v as (select distinct name, {_WORDS.format('name')} t from lk), q as (select id as qid, {_WORDS.format('statement')} w from fa where kind != 'profile')
+@C.add("jn04_entity_containment", f"""with v as (select distinct name, {_WORDS.format('name')} t from lk), q as (select id as qid, {_WORDS.format('statement')} w from fa)
     select qid, name from (select q.qid, v.name, row_number() over (partition by q.qid order by v.name) r from q, v where len(v.t) > 0 and len(list_intersect(v.t, q.w)) = len(v.t)) where r <= 10""", "fa lk")
 def _(s, d):
-    q = fa(s, d).filter("kind != 'profile'").select(F.col("id").alias("qid"), F.col("statement").alias("question"))
+    q = fa(s, d).select(F.col("id").alias("qid"), F.col("statement").alias("question"))
     return graph.contained(q, lk(s, d).select("name").distinct())
 
 
@@ -326,13 +326,7 @@ def _(s, d):
     return fusion.session_diverse(_ranked_facts(s, d).filter("rank <= 15").select("qid", "id", "session_id", "rank"), 5).select("qid", "id", "place")
 
 
-@C.add("win08_window_of_turns", "select id, count(*) over (partition by session_id order by id rows between 2 preceding and 2 following) as around from ep where session_id is not null and session_id != 'capture-inbox'", "ep")
-def _(s, d):
-    w = Window.partitionBy("session_id").orderBy("id").rowsBetween(-2, 2)
-    return ep(s, d).filter("session_id is not null and session_id != 'capture-inbox'").select("id", F.count("*").over(w).alias("around"))
-
-
-@C.add("win08_window_of_turns_all", "select id, count(*) over (partition by session_id order by id rows between 2 preceding and 2 following) as around from ep where session_id is not null", "ep")
+@C.add("win08_window_of_turns", "select id, count(*) over (partition by session_id order by id rows between 2 preceding and 2 following) as around from ep where session_id is not null", "ep")
 def _(s, d):
     """Turn windows of every session, the shared one included."""
     from palimpsest.operators.neighbours import around

@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import phrases
 from palimpsest.functions import text as tx
-from palimpsest.operators import fusion, graph, lexical, packing, vector
+from palimpsest.operators import fusion, graph, lexical, packing, plugins, vector
 from palimpsest.operators.neighbours import joined_text
 from palimpsest.plans.base import Catalogue, ep, fa, gold, lk, qs
 from palimpsest.sources.tables import once, table
@@ -98,16 +99,7 @@ def _(s, d):
     return at.select("doc_id", F.col("i").cast("bigint").alias("chunk"), F.expr("substring(text, i * 400 + 1, 400)").alias("part"))
 
 
-@C.add("str18_session_render", "select session_id, string_agg(coalesce(role, 'user') || ': ' || coalesce(content, ''), chr(10) order by id) as text from ep where session_id is not null and session_id != 'capture-inbox' group by session_id", "ep")
-def _(s, d):
-    """Sessions as text; the shared inbox is no conversation and is left to the streaming rebuild."""
-    e = ep(s, d).filter("session_id is not null and session_id != 'capture-inbox'")
-    line = F.concat(F.coalesce("role", F.lit("user")), F.lit(": "), F.coalesce("content", F.lit("")))
-    got = e.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("r"))
-    return got.select("session_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("text"))
-
-
-@C.add("str18_session_render_all", "select session_id, string_agg(coalesce(role, 'user') || ': ' || coalesce(content, ''), chr(10) order by id) as text from ep where session_id is not null group by session_id", "ep")
+@C.add("str18_session_render", "select session_id, string_agg(coalesce(role, 'user') || ': ' || coalesce(content, ''), chr(10) order by id) as text from ep where session_id is not null group by session_id", "ep")
 def _(s, d):
     """Every session as text, the shared one from ordered pieces."""
     line = F.concat(F.coalesce("role", F.lit("user")), F.lit(": "), F.coalesce("content", F.lit("")))
@@ -237,11 +229,12 @@ def _(s, d):
     return qs(s, d).select("qid", phrases.query_window_udf("question", tx.anchor_date(F.col("question_date"))).alias("w")).select("qid", "w.*")
 
 
-@C.add("dt21_dataset_dates", r"""select id, cast(make_timestamp(cast(regexp_extract(ts, '^(\d{4})/', 1) as bigint), cast(regexp_extract(ts, '^\d{4}/(\d\d)/', 1) as bigint), cast(regexp_extract(ts, '^\d{4}/\d\d/(\d\d)', 1) as bigint),
-    cast(regexp_extract(ts, ' (\d\d):\d\d$', 1) as bigint), cast(regexp_extract(ts, ':(\d\d)$', 1) as bigint), 0.0) as varchar) as at from ep where regexp_matches(ts, '^\d{4}/\d\d/\d\d \([A-Z][a-z]{2}\) \d\d:\d\d$') and substr(ts, 6, 5) != '02/31'""", "ep")
+@C.add("dt21_dataset_dates", r"""select id, x as "at" from (select id, strftime(try_strptime(substr(ts, 1, 10) || ' ' || substr(ts, 18, 5), '%Y/%m/%d %H:%M'), '%Y-%m-%d %H:%M:%S') x from ep where regexp_matches(ts, '^\d{4}/\d\d/\d\d \([A-Z][a-z]{2}\) \d\d:\d\d$')) where x is not null""", "ep")
 def _(s, d):
-    e = ep(s, d).filter(F.col("ts").rlike(r"^\d{4}/\d\d/\d\d \([A-Z][a-z]{2}\) \d\d:\d\d$")).filter("substring(ts, 6, 5) != '02/31'")
-    return e.select("id", F.concat(F.replace(F.substring("ts", 1, 10), F.lit("/"), F.lit("-")), F.lit(" "), F.substring("ts", 18, 5), F.lit(":00")).alias("at"))
+    """Days that do not exist have no date."""
+    e = ep(s, d).filter(F.col("ts").rlike(r"^\d{4}/\d\d/\d\d \([A-Z][a-z]{2}\) \d\d:\d\d$"))
+    at = F.concat(F.replace(F.substring("ts", 1, 10), F.lit("/"), F.lit("-")), F.lit(" "), F.substring("ts", 18, 5), F.lit(":00"))
+    return e.select("id", F.date_format(at.try_cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("at")).filter("at is not null")
 
 
 # ---- lexical retrieval ------------------------------------------------------------------------
@@ -350,25 +343,41 @@ def _(s, d):
 
 # ---- fusion -----------------------------------------------------------------------------------
 
-def _question_vectors(s, d):
-    """A question's vector: that of its first evidence turn that has one, as questions have none of their own."""
-    e = once(table(s, d, "episodes").select("id", "emb"), "id").filter(vector.sound(F.col("emb")))
-    first = gold(s, d).join(e, "id").groupBy("qid").agg(F.min_by("emb", "id").alias("v"))
-    return first.select("qid", "v")
+EMBEDDER = plugins.HashEmbedder(256, "md5")  # the digest that SQL has as well
+
+
+def _embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return plugins.embed(rows.select(key, text), text, EMBEDDER, "v", None, T.DoubleType()).select(key, "v")
 
 
-def _semantic(s, d, k: int) -> DataFrame:
-    e = once(table(s, d, "episodes").select("id", "emb"), "id").select("id", F.col("emb").alias("v"))
-    return vector.search(e, _question_vectors(s, d), k, keep_self=True)
+def semantic(s, d, k: int, docs: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """``qid, id, score, rank``: texts (``id, text``; all turns) nearest to each question (``qid, question``), both embedded from their own words."""
+    docs = ep(s, d).select("id", F.col("content").alias("text")) if docs is None else docs
+    asked = _embedded(qs(s, d) if queries is None else queries, "qid", "question")
+    return vector.search(_embedded(docs, "id", "text"), asked, k, 1e-6, keep_self=True)
+
+
+def _unit_sql(name: str, rel: str, key: str, text: str) -> str:
+    """SQL of ``key, bucket, w``: unit vectors of hashed character grams."""
+    return f"""{name}g as (select k, substr(t, i, n) g from (select {key} k, lower(coalesce({text}, '')) t, unnest([3, 4]) n from {rel}), lateral (select unnest(range(1, greatest(length(t) - n + 2, 1))) i) where length(t) >= n),
+    {name}c as (select k, cast(('0x' || substr(md5(g), 1, 8)) as bigint) % 256 bucket, count(*)::double c from {name}g group by 1, 2), {name} as (select k, bucket, c / sqrt(sum(c * c) over (partition by k)) w from {name}c)"""
+
+
+def _semantic_sql(name: str, k: int, docs: str = "ep", key: str = "id", text: str = "content") -> str:
+    """SQL of ``qid, id, score, rank`` of the semantic channel."""
+    return f"""{_unit_sql(name + "q", "qs", "qid", "question")}, {_unit_sql(name + "e", docs, key, text)},
+    {name}s as (select q.k qid, e.k id, round(sum(q.w * e.w), 6) score from {name}q q join {name}e e using (bucket) group by 1, 2),
+    {name} as (select * from (select *, row_number() over (partition by qid order by score desc, id) as rank from {name}s where score > 0) where rank <= {k})"""
 
 
 def _lexical(s, d, k: int) -> DataFrame:
     return lexical.bm25(_episode_docs(s, d), _content_terms(s, d).withColumnRenamed("term", "t").select("qid", F.col("t").alias("term"), "weight"), k, prefix=True).select("qid", F.col("doc_id").alias("id"), "score", "rank")
 
 
-@C.add("ret04_semantic_search")
+@C.add("ret04_semantic_search", f"with {_semantic_sql('sx', 20)} select qid, id, score, cast(rank as bigint) as rank from sx", "ep qs")
 def _(s, d):
-    return _semantic(s, d, 20)
+    """Turns nearest to each question by the vectors of their words."""
+    return semantic(s, d, 20)
 
 
 _LEX = _bm25_sql("docs as (select id as doc_id, content as text from ep)", _QT, 50)
@@ -379,34 +388,34 @@ _LX = f"with {_LEX_HEAD}, lx as (select {_LEX_TAIL})"
 def _channels(s, d) -> dict[str, DataFrame]:
     lex = lexical.bm25(_episode_docs(s, d), _raw_terms(s, d), 50).select("qid", F.lit("episode").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
     key = lexical.bm25(fa(s, d).select(F.col("id").alias("doc_id"), F.col("statement").alias("text")), _raw_terms(s, d), 50).select("qid", F.lit("fact").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
-    w = Window.partitionBy("qid").orderBy("id")
-    gold_rank = gold(s, d).join(ep(s, d).select("id"), "id").select("qid", F.lit("episode").alias("kind"), "id", F.row_number().over(w).alias("rank"))
-    return {"bm25": lex, "key": key, "vec": gold_rank}
+    vec = semantic(s, d, 50).select("qid", F.lit("episode").alias("kind"), "id", "score", "rank")
+    return {"bm25": lex, "key": key, "vec": vec}
 
 
-_RRF = f"""{_LX}, ftok as (select doc_id, unnest(t) term, len(t) dl from (select id doc_id, {_TOK.format("coalesce(statement, '')")} t from fa)), fst as (select count(*)::double n, avg(len({_TOK.format("coalesce(statement, '')")})) a from fa),
+_FX = f"""ftok as (select doc_id, unnest(t) term, len(t) dl from (select id doc_id, {_TOK.format("coalesce(statement, '')")} t from fa)), fst as (select count(*)::double n, avg(len({_TOK.format("coalesce(statement, '')")})) a from fa),
   ftf as (select doc_id, term, count(*) tf, any_value(dl) dl from ftok group by 1, 2), fdf as (select term, count(*)::double df from ftf group by 1),
   fsc as (select qid, doc_id, round(sum(w * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) score from qt join ftf using (term) join fdf using (term), fst group by 1, 2),
-  fx as (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from fsc),
-  gx as (select g.qid, g.id, row_number() over (partition by g.qid order by g.id) as rank from gold g join ep on ep.id = g.id),
+  fx as (select *, row_number() over (partition by qid order by score desc, doc_id) as rank from fsc)"""
+
+_RRF = f"""{_LX}, {_FX},
+  {_semantic_sql("gx", 50)},
   ch as (select qid, 'episode' kind, doc_id id, 'bm25' ch, 0.9 / (60 + rank) p from lx union all select qid, 'fact', doc_id, 'key', 0.7 / (60 + rank) from fx where rank <= 50 union all select qid, 'episode', id, 'vec', 1.0 / (60 + rank) from gx)
   select qid, kind, id, round(sum(p), 9) as score, string_agg(ch, ',' order by ch) as channels from ch group by 1, 2, 3"""
 
 
-@C.add("agg07_rrf_fusion", _RRF, "ep fa qs gold")
+@C.add("agg07_rrf_fusion", _RRF, "ep fa qs")
 def _(s, d):
-    """Weighted reciprocal ranks of the lexical channels of turns and facts and, as a third ranked channel, the evidence turns."""
+    """Weighted reciprocal ranks of the lexical channels of turns and facts and of the semantic channel of turns."""
     return fusion.reciprocal_ranks(_channels(s, d))
 
 
-@C.add("agg08_convex_scores", f"""{_LX}, v as (select g.qid, g.id, round(1.0 / (1 + row_number() over (partition by g.qid order by g.id)), 6) score from gold g join ep on ep.id = g.id),
+@C.add("agg08_convex_scores", f"""{_LX}, {_semantic_sql("v", 50)},
    a as (select qid, doc_id id, 0.5 * case when max(score) over (partition by qid) > 0 then score / max(score) over (partition by qid) else 1 end p from lx),
    b0 as (select *, max(score) over (partition by qid) hi, least(min(score) over (partition by qid), max(score) over (partition by qid) - 0.25) lo from v), b as (select qid, id, 0.5 * case when hi <= lo then 1 else (score - lo) / (hi - lo) end p from b0)
-   select qid, id, round(sum(p), 6) as score from (select * from a union all select * from b) group by 1, 2""", "ep qs gold")
+   select qid, id, round(sum(p), 6) as score from (select * from a union all select * from b) group by 1, 2""", "ep qs")
 def _(s, d):
     ch = _channels(s, d)
-    sem = ch["vec"].select("qid", "id", F.round(1.0 / (1 + F.col("rank")), 6).alias("score"))
-    return fusion.convex(ch["bm25"].select("qid", "id", "score"), sem)
+    return fusion.convex(ch["bm25"].select("qid", "id", "score"), ch["vec"].select("qid", "id", "score"))
 
 
 @C.add("agg09_session_rollup", f"""{_LX} select qid, id, round(score + 0.25 * greatest(max(score) over (partition by qid, coalesce(session_id, '#' || id)), 0), 8) as score from (select lx.qid, lx.doc_id id, lx.score, ep.session_id from lx join ep on ep.id = lx.doc_id)""", "ep qs")
@@ -433,7 +442,7 @@ def evidence_ranked(s, d):
 @C.add("ret09_evidence_full")
 def _(s, d):
     """Both channels (prefix BM25 and vectors, depth 200), convex fusion, priors with time windows, roll-up; rows only."""
-    both = fusion.convex(_lexical(s, d, 200).select("qid", "id", "score"), _semantic(s, d, 200).select("qid", "id", "score"))
+    both = fusion.convex(_lexical(s, d, 200).select("qid", "id", "score"), semantic(s, d, 200).select("qid", "id", "score"))
     e = ep(s, d).select("id", "session_id", F.lower(F.trim("role")).isin("assistant", "ai", "bot").alias("reply"), tx.intent(F.col("content"), "dateish").alias("dateish"), tx.anchor_date(F.col("ts")).alias("day"))
     w = phrases.query_window_udf("question", tx.anchor_date(F.col("question_date")))
     q = qs(s, d).select("qid", tx.intent(F.col("question"), "addresses_assistant").alias("addressed"), tx.intent(F.col("question"), "asks_when").alias("asks_when"), w.alias("w"))

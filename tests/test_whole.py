@@ -13,9 +13,9 @@ def test_shared_session_is_in(spark, sf):
     q = registry.queries()
     ids = {r["id"] for r in spark.read.parquet(f"{sf}/episodes.parquet").filter("session_id = 'capture-inbox'").collect()}
     assert ids
-    for name in ("win08_window_of_turns_all", "win11_gap_markers_all"):
+    for name in ("win08_window_of_turns", "win11_gap_markers"):
         assert ids <= {r["id"] for r in q[name](spark, sf).collect()}
-    for name in ("hsh01_session_digest_all", "str18_session_render_all"):
+    for name in ("hsh01_session_digest", "str18_session_render"):
         assert q[name](spark, sf).filter("session_id = 'capture-inbox'").count() == 1
 
 
@@ -32,7 +32,7 @@ def test_pieces_of_a_hot_key(spark):
 
 def test_digests_of_the_largest_subject(spark, sf):
     larger = os.path.join(os.path.dirname(sf), "sf0.01")  # the smallest has no subject 'user'
-    name = "mut07_observation_digests_all"
+    name = "mut07_observation_digests"
     df = registry.queries()[name](spark, larger)
     assert df.filter("subject = 'user'").count() > 0
     cols, got = rows(df)
