@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARIES = {"byte_bpe_50k": DEFAULT_VOCABULARY}  # files of the tokenizers by name, a setting
 # Fixed value: the splitting pattern published with this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE_WORDS = 400_000

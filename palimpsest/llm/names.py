@@ -25,7 +25,7 @@ word. A spelling of any length is read whole.
 Scale: joins are equi-joins on grams, tokens and (token, initial) keys, so a
 common surname is cut by first names; no pairs beyond these are formed. The
 components are found by label propagation with pointer jumping on written
-tables. Only first names (at most MAX_FIRST entries, by count) reach the driver.
+tables. Only first names and words of kinds, learnt from the tables, reach the driver.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -42,7 +43,9 @@ from pyspark.sql import functions as F
 from palimpsest.session import materialise
 from palimpsest.sources.tables import spelling
 
-Q, SIMILAR, ACCEPT, MAX_FIRST = 2, 0.34, 0.72, 20_000
+Q, SIMILAR, ACCEPT = 2, 0.34, 0.72
+MAX_FIRST, MAX_KINDS = 1_000_000, 20_000  # more of these words than any language has are an error
+FRONT, TOLD, RARER = 3, 3, 8  # last words that a first name stands before; organisations that tell a kind; how much rarer a slip is than the name
 LONG = 24  # letters; words beyond are joined by grams alone
 # Short forms of first names and the names they stand for.
 SHORT_FORMS = {k: frozenset(v.split("|")) for k, v in (x.split("=") for x in """
@@ -58,21 +61,10 @@ bob=robert rob=robert bobby=robert robbie=robert sam=samuel sammy=samuel sid=sid
 theo=theodore tom=thomas tommy=thomas vicky=victoria tori=victoria vic=victoria mina=wilhelmina willa=wilhelmina minnie=wilhelmina bill=william will=william billy=william willy=william
 zach=zachary zack=zachary zac=zachary zee=zainab
 """.split())}
-FULL_FIRST = frozenset("""
-alexander amara anand andrew anthony bao benjamin celeste charlotte christopher daniel deborah dmitri edward ekaterina elizabeth farid francesca francisco freya friedrich
-gabriela greta guadalupe haruka heinrich hugo ignacio ingrid isabella jennifer johannes jonathan joseph katherine kenji kofi lakshmi leila leonard margaret matthew michael mikhail
-ngozi nicholas omar oskar patricia pilar priyanka quentin rajesh rebecca richard robert samuel siddharth stephanie susannah theodore thomas tomoko uma vera victoria viggo wilhelmina
-william xenia yara yusuf zachary zainab
-""".split())
-# Titles, legal forms, small words, and words that name the kind of an organisation.
+# Titles, legal forms and small words.
 TITLES = frozenset("dr mr mrs ms miss mx prof professor sir madam rev".split())
 LEGAL = frozenset("inc gmbh llc ltd pvt co plc corp bv nv sa ag limited company corporation kg oy ab srl".split())
 SMALL = frozenset("the of and & for de".split())
-KINDS = tuple("""
-analytics insurance bakery university school music institute research engineering clinic health motors foods press energy partners consulting group logistics data systems software
-bank hospital hotel college academy association foundation laboratory services solutions technologies museum trust
-""".split())
-_COMPOUNDS = ("school music", "research institute", "energy partners", "consulting group", "data systems", "health clinic")
 _FOLD = str.maketrans({"ø": "o", "ß": "ss", "ł": "l", "đ": "d", "æ": "ae", "œ": "oe", "ı": "i"})
 
 
@@ -103,36 +95,43 @@ def edits(a: str, b: str, most: int = 3) -> int:
     return min(prev[-1], most + 1)
 
 
+@dataclass(frozen=True)
+class Words:
+    """What the tables tell of names: first names, words of kinds of organisations, and kinds of several words."""
+
+    first: frozenset = frozenset()
+    kinds: tuple = ()
+    tails: tuple = ()
+
+
 @lru_cache(maxsize=100_000)
-def kind_of(t: str) -> str | None:
-    """The kind word that a token is, abbreviates or misspells."""
-    if t in KINDS:
+def kind_of(t: str, kinds: tuple) -> str | None:
+    """The kind word that a token is, abbreviates or misspells; several that a short form may stand for are joined by ``|``."""
+    if t in kinds:
         return t
     if len(t) < 2:
         return None
-    for w in KINDS:
-        if len(t) >= 3 and w.startswith(t):
-            return w
-    for w in KINDS:
-        if len(t) >= 4 and edits(t, w, 2) <= (2 if len(w) >= 7 else 1):
-            return w
-    at_least = {"sw": "software", "en": "energy", "pr": "press", "cl": "clinic", "in": "institute", "ins": "insurance", "uni": "university", "grp": "group", "sys": "systems"}
-    if t in at_least:
-        return at_least[t]
-    if 2 < len(t) <= 8 and not set(t[1:]) & set("aeou"):
-        for w in KINDS:
-            it = iter(w)
-            if t[0] == w[0] and t[-1] == w[-1] and all(c in it for c in t):
-                return w
-    return None
-
-
-def read(name: str, first_names: frozenset) -> tuple[str, str, str, str]:
+    bare = not set(t[1:]) & set("aeou")
+
+    def skeleton(w: str) -> bool:
+        it = iter(w)
+        return t[0] == w[0] and (len(t) == 2 or t[-1] == w[-1]) and all(c in it for c in t)
+
+    ways = [[w for w in kinds if w.startswith(t)]]
+    if len(t) >= 4:
+        ways.append([w for w in kinds if edits(t, w, 2) <= (2 if len(w) >= 7 else 1)])
+    if bare and len(t) <= 8:
+        ways.append([w for w in kinds if skeleton(w)])
+    return next(("|".join(sorted(found)) for found in ways if found), None)
+
+
+def read(name: str, words: Words) -> tuple[str, str, str, str]:
     """(``person`` or ``organisation``, distinctive part, other part, spelling without order and marks).
 
     The other part is a first name, an initial or the sorted kind words; it is
     empty where it is missing.
     """
+    first_names, KINDS = words.first, words.kinds
     s = fold(name)
     if "," in s:
         a, _, b = s.partition(",")
@@ -147,9 +146,9 @@ def read(name: str, first_names: frozenset) -> tuple[str, str, str, str]:
     if not tokens:
         tokens = raw or [s.strip() or name]
     if len(tokens) == 1 and len(tokens[0]) >= 8:
-        tokens = _unglue(tokens[0], first_names)
+        tokens = _unglue(tokens[0], words)
     known = [t for t in tokens if t in first_names or t in SHORT_FORMS]
-    kinds = [kind_of(t) for t in tokens]
+    kinds = [kind_of(t, KINDS) for t in tokens]
     if len(tokens) > 1 and not known:
         found = [k for k in kinds[1:] if k]
         own = [t for t, k in zip(tokens[1:], kinds[1:]) if not k]
@@ -159,7 +158,7 @@ def read(name: str, first_names: frozenset) -> tuple[str, str, str, str]:
         if kinds[0] and not kinds[-1] and tokens[0] in KINDS:
             return "organisation", tokens[-1], " ".join(sorted({k for k in kinds if k})), " ".join(sorted(tokens))
         if len(tokens) == 2 and len(tokens[1]) == 2 and not set(tokens[1]) & set("aeiou"):
-            full = next((c for c in _COMPOUNDS if "".join(w[0] for w in c.split()) == tokens[1]), None)
+            full = next((c for c in words.tails if "".join(w[0] for w in c.split()) == tokens[1]), None)
             if full:
                 return "organisation", tokens[0], " ".join(sorted(full.split())), " ".join(sorted(tokens))
     if len(tokens) == 1 or legal:
@@ -183,13 +182,13 @@ def _near(t: str, first_names: frozenset) -> bool:
     return len(t) >= 3 and any(edits(t, f, 1) <= 1 for f in first_names if abs(len(f) - len(t)) <= 1)
 
 
-def _unglue(t: str, first_names: frozenset) -> list[str]:
-    for c in sorted((*_COMPOUNDS, *KINDS), key=len, reverse=True):
+def _unglue(t: str, words: Words) -> list[str]:
+    for c in sorted((*words.tails, *words.kinds), key=len, reverse=True):
         for tail in (c.replace(" ", ""), c.replace(" ", "of")):
             if t.endswith(tail) and len(t) - len(tail) >= 4:
                 return [t[:-len(tail)], *c.split()]
     for n in range(min(12, len(t) - 4), 2, -1):
-        if t[:n] in first_names:
+        if t[:n] in words.first:
             return [t[:n], t[n:]]
     return [t]
 
@@ -224,8 +223,12 @@ def kind_similarity(a: str, b: str) -> float:
     """Similarity of two sets of kind words; 0 if they name different kinds."""
     if not a or not b:
         return 0.8
-    x, y = set(a.split()), set(b.split())
-    return 1.0 if x == y else 0.9 if x < y or y < x else 0.0
+    if a == b:
+        return 1.0
+    x, y = sorted(([set(k.split("|")) for k in o.split()] for o in (a, b)), key=len)
+    if not all(any(k & other for other in y) for k in x):
+        return 0.0
+    return 0.95 if len(x) == len(y) else 0.9
 
 
 def own_similarity(a: str, b: str) -> float:
@@ -298,28 +301,66 @@ def components(names: DataFrame, links: DataFrame) -> DataFrame:
             return state
 
 
-def first_names(names: DataFrame) -> frozenset:
-    """Names that stand before many different words, counted over all spellings, and the common ones."""
-    p = F.split("name", " ")
-    two = names.filter(F.size(p) == 2).select(p[0].alias("f"), p[1].alias("l")).filter("length(l) > 3")
-    got = two.groupBy("f").agg(F.countDistinct("l").alias("n")).filter("n >= 12 and f rlike '^[a-z]{3,20}$'").orderBy(F.desc("n"), "f").limit(MAX_FIRST).collect()
-    return FULL_FIRST | {r["f"] for r in got if r["f"] not in SMALL and r["f"] not in SHORT_FORMS and kind_of(r["f"]) is None}
+def _without_slips(fronts: dict[str, int]) -> frozenset:
+    """The first names that are not one edit from a much more frequent one."""
+    near: dict[str, list[str]] = {}
+    for w in fronts:
+        for key in {w, *(w[:k] + w[k + 1:] for k in range(len(w)))}:
+            near.setdefault(key, []).append(w)
+    slips = {w for group in near.values() if len(group) > 1 for w in group for f in group if fronts[f] >= RARER * fronts[w] and edits(w, f, 1) == 1}
+    return frozenset(fronts.keys() - slips)
 
 
-def link(names: DataFrame, told: DataFrame, together: DataFrame) -> DataFrame:
+def words_of(names: DataFrame, organisations: DataFrame) -> Words:
+    """First names and kinds of organisations, counted over whole tables: ``name`` and ``organisation``.
+
+    A kind is a word behind the first one of organisations' names. A first name stands before several different last words, and
+    before more than twice as many as it stands behind; in a small table, before as many as any.
+    """
+    w = F.filter(F.split(F.lower("organisation"), r"[^\p{L}&']+"), lambda x: (x != "") & ~x.isin(*SMALL, *LEGAL))
+    tails = organisations.select(F.slice(w, 2, 9).alias("t"), F.col("organisation")).filter("size(t) > 0").distinct()
+
+    def told(df: DataFrame, most: int) -> list[str]:
+        counted = df.groupBy("x").count()
+        least = counted.agg(F.least(F.lit(TOLD), F.max("count")).alias("least"))
+        got = counted.join(F.broadcast(least)).filter("count >= least").orderBy(F.desc("count"), "x").limit(most + 1).collect()
+        if len(got) > most:
+            raise ValueError(f"more than {most} words of kinds of organisations")
+        return [r["x"] for r in got]
+
+    kinds = told(tails.select(F.explode("t").alias("x")), MAX_KINDS)
+    several = told(tails.filter("size(t) > 1").select(F.array_join("t", " ").alias("x")), MAX_KINDS)
+    p = F.split("name", " ")
+    two = names.filter((F.size(p) == 2) & ~F.col("name").contains(",")).select(p[0].alias("f"), p[1].alias("l")).filter("length(l) > 3")
+    # the first word of an organisation stands before many short forms of its kind and is no first name
+    owns = organisations.select(w[0].alias("f")).filter("f is not null").unionByName(two.filter(F.rtrim(F.lit("."), F.col("l")).isin(*kinds)).select("f") if kinds else two.filter("false").select("f"))
+    two = two.join(owns.distinct(), "f", "left_anti")
+    front = two.groupBy("f").agg(F.countDistinct("l").alias("n"))
+    behind = two.groupBy(F.col("l").alias("f")).agg(F.countDistinct("f").alias("m"))
+    some = front.join(behind, "f", "left").filter("f rlike '^[a-z]{3,20}$' and n > 2 * coalesce(m, 0)")
+    least = some.agg(F.least(F.lit(FRONT), F.max("n")).alias("least"))
+    got = some.join(F.broadcast(least)).filter("n >= least").limit(MAX_FIRST + 1).collect()
+    if len(got) > MAX_FIRST:
+        raise ValueError(f"more than {MAX_FIRST} first names")
+    fronts = {r["f"]: r["n"] for r in got if r["f"] not in SMALL and r["f"] not in SHORT_FORMS and r["f"] not in TITLES and r["f"] not in kinds}
+    return Words(_without_slips(fronts), tuple(kinds), tuple(several))
+
+
+def link(names: DataFrame, told: DataFrame, together: DataFrame, organisations: DataFrame) -> DataFrame:
     """``name, part`` of each spelling; spellings of one part mean the same.
 
     names: ``name``; told: ``a, b`` from the alias table; together: ``a, b``, names
     entered for the same fact.
     """
     names = materialise(names.filter("name is not null and name != ''").distinct())
-    known = first_names(names)
+    words = words_of(names, organisations)
+    known = words.first
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for n in pdf["name"]:
-                kind, own, other, order = read(n, known)
+                kind, own, other, order = read(n, words)
                 keys = ["*"] if kind == "organisation" else sorted({"i" + f[0] for f in _fulls(other)} | ({"e" + other[-3:]} if len(other) > 3 else set())) if other else ["i"]
                 rows.append((n, kind, own, other, order, keys))
             yield pd.DataFrame(rows, columns=["name", "kind", "own", "other", "order", "keys"])
@@ -368,8 +409,8 @@ def link(names: DataFrame, told: DataFrame, together: DataFrame) -> DataFrame:
     joins = fits.filter("n = 1").join(told_names, "name", "left_anti").select("name", "part")
     # spellings that lack a part and fit no full one link with each other; those with the same words always do
     orphans = links.filter("lacks_a and lacks_b").join(fits.select(F.col("name").alias("a")), "a", "left_anti").join(fits.select(F.col("name").alias("b")), "b", "left_anti").select("a", "b")
-    words = read_names.select("name", "order").join(read_names.select(F.col("name").alias("b"), "order"), "order").filter("name < b").select(F.col("name").alias("a"), "b")
-    more = joins.select(F.least("name", "part").alias("a"), F.greatest("name", "part").alias("b")).filter("a != b").unionByName(orphans).unionByName(words)
+    alike = read_names.select("name", "order").join(read_names.select(F.col("name").alias("b"), "order"), "order").filter("name < b").select(F.col("name").alias("a"), "b")
+    more = joins.select(F.least("name", "part").alias("a"), F.greatest("name", "part").alias("b")).filter("a != b").unionByName(orphans).unionByName(alike)
     return components(read_names, sure.unionByName(more).distinct())
 
 
@@ -382,13 +423,14 @@ def spellings(entities: DataFrame, aliases: DataFrame, facts: DataFrame) -> Data
     return out.select(spelling(F.col("name")).alias("name")).filter("name is not null and name != ''").distinct()
 
 
-def same_entity(entities: DataFrame, aliases: DataFrame, facts: DataFrame) -> DataFrame:
-    """``name, part`` of all spellings. facts: ``id, subject``."""
+def same_entity(entities: DataFrame, aliases: DataFrame, facts: DataFrame, organisations: DataFrame | None = None) -> DataFrame:
+    """``name, part`` of all spellings. facts: ``id, subject``; organisations: ``organisation``, full names from which their kinds are learnt."""
     told = aliases.select(spelling(F.col("alias")).alias("a"), spelling(F.col("canonical")).alias("b")).filter("a != '' and b != ''")
     subject = facts.select(F.col("id").alias("fact_id"), spelling(F.col("subject")).alias("a"))
     entered = entities.select("fact_id", spelling(F.col("name")).alias("b"))
     together = subject.join(entered, "fact_id").filter("a != b").select("a", "b").distinct()
-    return link(spellings(entities, aliases, facts), told, together)
+    organisations = entities.sparkSession.createDataFrame([], "organisation string") if organisations is None else organisations
+    return link(spellings(entities, aliases, facts), told, together, organisations)
 
 
 def pairs(parts: DataFrame) -> DataFrame:

@@ -117,7 +117,9 @@ def pack(items: DataFrame, budgets: DataFrame, shard_rows: int = SHARD_ROWS) ->
     numbers count from 1 and start and length are positions within the item.
     """
     b = budgets.select("budget", F.greatest(F.col("capacity"), F.lit(1)).alias("capacity"))
-    few = b.limit(MAX_BUDGETS).collect()  # a list of budgets is a setting, not data
+    few = b.limit(MAX_BUDGETS + 1).collect()  # a list of budgets is a setting, not data
+    if len(few) > MAX_BUDGETS:
+        raise ValueError(f"more than {MAX_BUDGETS} budgets")
     each = F.array(*[F.struct(F.lit(r["budget"]).alias("budget"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in few])
     every = items.withColumn("b", F.explode(each if few else F.expr("cast(array() as array<struct<budget:string,capacity:bigint>>)"))).select("*", "b.*")
     size, cap = F.col("size"), F.col("capacity")

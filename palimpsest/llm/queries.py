@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ NEIGHBOURS, LEAST_COSINE = 8, 0.90
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     subjects = once(table(spark, d, "facts").select("id", "subject"), "id")
-    return names.pairs(names.same_entity(table(spark, d, "entities"), table(spark, d, "entity_aliases"), subjects))
+    objects = once(table(spark, d, "facts").filter("predicate in ('works_at', 'studies_at')").select("id", "object"), "id")
+    return names.pairs(names.same_entity(table(spark, d, "entities"), table(spark, d, "entity_aliases"), subjects, objects.select(F.col("object").alias("organisation"))))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -61,10 +64,15 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "source", "text",
         # copies are texts equal but for case and white space
         F.xxhash64(F.coalesce(F.regexp_replace(F.lower("text"), r"\s+", " "), F.lit(""))).alias("cluster"))
-    sizes = encode.token_counts(docs, ["doc_id", "source", "cluster"])
-    items = sizes.select(F.col("doc_id").alias("item"), "source", "cluster", F.col("tokens").alias("size"))
-    packed = packing.pack(items, table(spark, d, "context_budgets").filter("tokenizer = 'byte_bpe_50k'"))
-    return packed.withColumnRenamed("item", "doc_id")
+    budgets, parts = table(spark, d, "context_budgets"), []
+    names = sorted({r["tokenizer"] or "" for r in budgets.select("tokenizer").distinct().limit(packing.MAX_BUDGETS).collect()})
+    for name in names:  # sizes are in tokens of the tokenizer that a budget names
+        if name not in encode.VOCABULARIES:
+            raise ValueError(f"no vocabulary of the tokenizer {name!r}")
+        sizes = encode.token_counts(docs, ["doc_id", "source", "cluster"], path=encode.VOCABULARIES[name])
+        items = sizes.select(F.col("doc_id").alias("item"), "source", "cluster", F.col("tokens").alias("size"))
+        parts.append(packing.pack(items, budgets.filter(F.col("tokenizer") == name)))
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("item", "doc_id")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
