@@ -1,12 +1,14 @@
 """Inverted index and BM25 for a batch of queries.
 
-``postings`` are built once per corpus and hold one row per term and document.
+``postings`` are built once per corpus and hold one row per term and document;
+the documents' number and mean length come from them and a count.
 Term weights are computed once per distinct term and document by equi-joins.
 Common words make pairs of query and document far more numerous than term
-weights, so these are never rows: documents stream in blocks, each block's
-weights form a matrix of terms by documents, a query's scores are a sum of its
-rows, and only its k best of the block become rows.  Queries are sent to the
-executors in pages of PAGE terms.
+weights, so these are never rows: documents stream in blocks, a block's weights are kept sparse,
+sorted by term, a query's scores are the sums over its terms' places there,
+and only its k best of the block become rows.  Queries are sent to the
+executors in pages of PAGE terms; if one page does not hold them, the weights are written once
+and read by each page.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import index_tokens, light_stem
+from palimpsest.session import materialise
 
-PAGE, QUERY_TERMS, DOC_BLOCK = 200_000, 8_000, 1024
+PAGE, QUERY_TERMS, DOC_BLOCK = 200_000, 2_000, 1024
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -32,9 +35,10 @@ def postings(docs: DataFrame, text: Column | None = None) -> DataFrame:
     return tok.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus(docs: DataFrame) -> DataFrame:
-    """One row: ``n`` documents and their mean length ``avgdl``."""
-    return docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.size(index_tokens(F.coalesce("text", F.lit(""))))).alias("avgdl"))
+def corpus(docs: DataFrame, post: DataFrame) -> DataFrame:
+    """One row: ``n`` documents and their mean length ``avgdl``; the postings' shuffle serves here again."""
+    n = docs.agg(F.count("*").cast("double").alias("n"))
+    return n.join(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
 
 
 def term_weights(post: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
@@ -55,6 +59,7 @@ def bm25(docs: DataFrame, terms: DataFrame, k: int | None = 10, prefix: bool = F
     phrase. Ties go to the smaller id; k None keeps all.
     """
     post = postings(docs)
+    stats = corpus(docs, post)
     if prefix:
         # words of the vocabulary that start with a wanted stem, found by the stem's own length
         stems = terms.select("term", F.length("term").alias("len")).distinct()
@@ -63,7 +68,7 @@ def bm25(docs: DataFrame, terms: DataFrame, k: int | None = 10, prefix: bool = F
         cut = vocabulary.select("word", F.explode("lens").alias("len")).filter("length(word) >= len").withColumn("term", F.expr("substring(word, 1, len)"))
         expand = cut.join(stems, ["term", "len"]).select("word", "term")
         post = post.withColumnRenamed("term", "word").join(expand, "word").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
-    parts = term_weights(post, corpus(docs), terms)
+    parts = term_weights(post, stats, terms)
     if k is None:
         scores = terms.join(parts, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("part")), 6).alias("score"))
     else:
@@ -80,6 +85,7 @@ def _best(parts: DataFrame, terms: DataFrame, k: int) -> DataFrame:
         rows = (terms if after is None else terms.filter(F.col("qid") > F.lit(after))).select("qid", "term", "weight").orderBy("qid", "term").limit(PAGE).collect()
         full = len(rows) == PAGE
         if full:  # the last query's terms may go on in the next page
+            by_doc = by_doc if out is not None else materialise(by_doc)
             last = rows[-1]["qid"]
             rows = [r for r in rows if r["qid"] != last]
             if not rows:
@@ -107,22 +113,29 @@ def _scorer(rows: list, k: int):
             cuts.append((first, j + 1, starts[first], end))
             first = j + 1
 
+    row = np.repeat(np.arange(len(starts)), np.diff([*starts, len(rows)]))
+
     def score(doc: np.ndarray, term: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, column = np.unique(doc, return_inverse=True)
-        for d in range(0, len(ids), DOC_BLOCK):
-            here = (column >= d) & (column < d + DOC_BLOCK)
-            n = min(DOC_BLOCK, len(ids) - d)
-            m = np.zeros((len(vocabulary), n))
-            m[term[here], column[here] - d] = part[here]
+        order = np.lexsort((term, column // DOC_BLOCK))
+        term, column, part = term[order], column[order], part[order]
+        cut = np.searchsorted(column // DOC_BLOCK, np.arange(-(-len(ids) // DOC_BLOCK) + 1))
+        for block, (lo, hi) in enumerate(zip(cut, cut[1:])):
+            first, n = block * DOC_BLOCK, min(DOC_BLOCK, len(ids) - block * DOC_BLOCK)
+            t, c, p = term[lo:hi], column[lo:hi] - first, part[lo:hi]
+            begin = np.searchsorted(t, np.arange(len(vocabulary) + 1))
             for q0, q1, r0, r1 in cuts:
-                s = np.add.reduceat(m[at[r0:r1]] * weight[r0:r1, None], np.array(starts[q0:q1]) - r0, axis=0)
+                here = at[r0:r1]
+                many = begin[here + 1] - begin[here]
+                place = np.repeat(begin[here] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                cell = np.repeat(row[r0:r1] - q0, many) * n + c[place]
+                s = np.round(np.bincount(cell, np.repeat(weight[r0:r1], many) * p[place], (q1 - q0) * n).reshape(q1 - q0, n), 6)
                 found = s > 0
-                s = np.round(s, 6)
                 if n > k:
                     found &= s >= np.partition(s, -k, axis=1)[:, -k:-k + 1 or None]
                 x, y = np.nonzero(found)
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array([names[q0 + i] for i in x], pa.array(names[:1]).type), pa.array(ids[d + y]), pa.array(s[x, y])], names=["qid", "doc_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[q0 + i] for i in x], pa.array(names[:1]).type), pa.array(ids[first + y]), pa.array(s[x, y])], names=["qid", "doc_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not rows:

@@ -60,6 +60,15 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0
     return ranked.filter(F.col("rank") <= k)
 
 
+def feedback(rows: DataFrame, queries: DataFrame, k: int = 10, seeds: int = 3, weight: float = 0.5) -> DataFrame:
+    """``search`` with each query moved by ``weight`` times the mean of its nearest ``seeds`` rows; unit vectors are expected."""
+    near = search(rows, queries, seeds).select("qid", "id").join(rows, "id")
+    mean = near.select("qid", F.posexplode("v").alias("i", "x")).groupBy("qid", "i").agg((F.avg("x") * weight).alias("x"))
+    shift = mean.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))
+    moved = queries.join(shift, "qid").select("qid", F.zip_with("v", F.transform("m", lambda e: e["x"]), lambda a, b: a + b).alias("v"))
+    return search(rows, moved, k)
+
+
 def _block(got: list, k: int, least: float, keep_self: bool):
     ids = [r["qid"] for r in got]
     dims: dict[int, list[int]] = {}

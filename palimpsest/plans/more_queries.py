@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import phrases
 from palimpsest.functions import text as tx
-from palimpsest.operators import fusion, graph, lexical, plugins, vector
+from palimpsest.operators import fusion, graph, lexical, packing, plugins, vector
 from palimpsest.operators.neighbours import with_neighbours
 from palimpsest.plans.base import Catalogue, al, ep, fa, gold, lk, qs
-from palimpsest.plans.text_queries import _ANCHORED, _FX, _anchored, _channels, _intent, _LX, _semantic_sql, semantic
+from palimpsest.plans.text_queries import C as C_TEXT
+from palimpsest.plans.text_queries import _ANCHORED, _FX, _anchored, _channels, _intent, _LX, _semantic_sql, by_words, facts_by_words, semantic
 from palimpsest.session import materialise
 from palimpsest.sources.tables import table
 
@@ -104,7 +105,7 @@ def _(s, d):
 
 @C.add("win03_channel_ranks", f"{_LX} select qid, id, cast(rank as bigint) as rank from (select lx.qid, lx.doc_id id, row_number() over (partition by lx.qid order by lx.score desc, lx.doc_id) as rank from lx join ep on ep.id = lx.doc_id where ep.session_id is not null)", "ep qs")
 def _(s, d):
-    lex = _channels(s, d)["bm25"].select("qid", "id", "score").join(ep(s, d).filter("session_id is not null").select("id"), "id")
+    lex = by_words(s, d).select("qid", "id", "score").join(ep(s, d).filter("session_id is not null").select("id"), "id")
     return lex.select("qid", "id", fusion.by_rank().cast("bigint").alias("rank"))
 
 
@@ -117,19 +118,19 @@ def _(s, d):
 
 @C.add("win13_prefix_budget", f"{_LX} select qid, id from (select lx.qid, lx.doc_id id, sum(length(coalesce(e.content, '')) + 1) over (partition by lx.qid order by lx.rank) used from lx join ep e on e.id = lx.doc_id) where used <= 1500", "ep qs")
 def _(s, d):
-    lex = _channels(s, d)["bm25"].join(ep(s, d).select("id", "content"), "id")
+    lex = by_words(s, d).join(ep(s, d).select("id", "content"), "id")
     used = F.sum(F.length(F.coalesce("content", F.lit(""))) + 1).over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return lex.withColumn("used", used).filter("used <= 1500").select("qid", "id")
 
 
 @C.add("set03_relevant_returned", f"{_LX} select lx.qid, count(*) as n from lx join gold g on g.qid = lx.qid and g.id = lx.doc_id group by 1", "ep qs gold")
 def _(s, d):
-    return _channels(s, d)["bm25"].select("qid", "id").join(gold(s, d), ["qid", "id"], "left_semi").groupBy("qid").agg(F.count("*").alias("n"))
+    return by_words(s, d).select("qid", "id").join(gold(s, d), ["qid", "id"], "left_semi").groupBy("qid").agg(F.count("*").alias("n"))
 
 
 @C.add("set05_append_unseen", f"{_LX} select qid, id, min(o) as first_round from (select qid, doc_id id, 1 o from lx where rank <= 10 union all select qid, doc_id, 2 from lx where rank between 5 and 20) group by 1, 2", "ep qs")
 def _(s, d):
-    lex = _channels(s, d)["bm25"]
+    lex = by_words(s, d)
     both = lex.filter("rank <= 10").select("qid", "id", F.lit(1).alias("o")).unionByName(lex.filter("rank between 5 and 20").select("qid", "id", F.lit(2).alias("o")))
     return both.groupBy("qid", "id").agg(F.min("o").alias("first_round"))
 
@@ -270,7 +271,7 @@ def _(s, d):
 
 @C.add("ret08_rerank")
 def _(s, d):
-    lex = _channels(s, d)["bm25"].select("qid", "id", "score", "rank")
+    lex = by_words(s, d).select("qid", "id", "score", "rank")
     j = lex.join(ep(s, d).select("id", "content"), "id").join(qs(s, d).select("qid", "question"), "qid")
     return plugins.rerank(j, plugins.OverlapReranker(), 48, 0.5)
 
@@ -291,8 +292,7 @@ def _(s, d):
 @C.add("ret16_evidence_with_facts", f"{_LX}, {_FX} select qid, 'fact' as kind, doc_id as id, cast(rank as bigint) as rank from fx where rank <= 10 union all select qid, 'episode', doc_id, cast(rank as bigint) from lx where rank <= 10", "ep fa qs")
 def _(s, d):
     """A block of facts from the lexical channel of statements, and the turns, side by side."""
-    ch = _channels(s, d)
-    return ch["key"].filter("rank <= 10").select("qid", "kind", "id", "rank").unionByName(ch["bm25"].filter("rank <= 10").select("qid", "kind", "id", "rank"))
+    return facts_by_words(s, d, 10).select("qid", "kind", "id", "rank").unionByName(by_words(s, d, 10).select("qid", "kind", "id", "rank"))
 
 
 @C.add("ret11_named_speakers")
@@ -302,3 +302,67 @@ def _(s, d):
     t = qs(s, d).select("qid", F.explode(tx.query_terms(F.col("question"))).alias("term"))
     left = t.join(first, "term", "left_anti").groupBy("qid", "term").agg(F.count("*").alias("weight"))
     return lexical.bm25(ep(s, d).select(F.col("id").alias("doc_id"), F.col("content").alias("text")), left, 20)
+
+
+@C.add("vec05_dense_feedback", """with u as (select vec_id id, list_transform(cast(embedding as double[]), lambda x: x / sqrt(list_sum(list_transform(cast(embedding as double[]), lambda y: y * y)))) v from embeddings),
+    s1 as (select * from (select a.id qid, b.id, row_number() over (partition by a.id order by round(list_dot_product(a.v, b.v), 6) desc, b.id) r from u a, u b where a.id % 20 = 0 and b.id != a.id) where r <= 3),
+    m as (select qid, i, avg(u.v[i]) x from s1 join u using (id), unnest(range(1, len(u.v) + 1)) t(i) group by 1, 2),
+    q as (select a.id qid, list(a.v[i] + 0.5 * m.x order by i) v from u a join m on m.qid = a.id group by 1),
+    sc as (select q.qid, b.id, round(list_dot_product(q.v, b.v) / sqrt(list_dot_product(q.v, q.v)), 6) score from q, u b where b.id != q.qid)
+    select qid, id, score, cast(r as bigint) as rank from (select *, row_number() over (partition by qid order by score desc, id) r from sc) where r <= 10""")
+def _(s, d):
+    """Each query vector is moved by half the mean of its three nearest vectors and searched again."""
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), vector.unit(F.col("embedding")).alias("v"))
+    ask = v.filter("id % 20 = 0").select(F.col("id").alias("qid"), "v")
+    return vector.feedback(v, ask, 10)
+
+
+@C.add("top08_clamps", """select id, case when k between 1 and 100 then k else 12 end as k, case when b between 200 and 64000 then b else 9000 end as char_budget from (select id, id % 150 - 10 k, id * 37 % 90000 b from ep)""", "ep")
+def _(s, d):
+    """Limits out of range fall back to the defaults."""
+    k, b = F.col("id") % 150 - 10, F.col("id") * 37 % 90_000
+    return ep(s, d).select("id", F.when(k.between(1, 100), k).otherwise(F.lit(12)).alias("k"), F.when(b.between(200, 64_000), b).otherwise(F.lit(9000)).alias("char_budget"))
+
+
+@C.add("dt11_earlier_this", f"with {_ANCHORED} select id, cast(date_trunc('week', a) as date) as week_first, cast(date_trunc('month', a) as date) as month_first, make_date(year(a), 1, 1) as year_first from an where a is not null", "ep")
+def _(s, d):
+    """'earlier this week, month or year' is the whole of that period; only its first day is shown."""
+    e = _anchored(s, d)
+    for unit in ("week", "month", "year"):
+        e = e.withColumn(unit, F.element_at(phrases.mentions_udf(F.lit(f"earlier this {unit}"), F.col("a")), 1))
+    return e.select("id", *[F.col(f"{u}.first").alias(f"{u}_first") for u in ("week", "month", "year")])
+
+
+@C.add("ret21_federation", """with m as (select distinct session_id, coalesce(owner, '') owner from session_meta where session_id is not null), st as (select f.id, f.statement, case when f.scope = '' then 0 else 1 end store from fa f),
+    h as (select qid, store, id, row_number() over (partition by qid, store order by n desc, id) r from (select q.qid, st.store, st.id, len(list_intersect(string_split(lower(q.question), ' '), string_split(lower(coalesce(st.statement, '')), ' '))) n from qs q, st) where n > 0)
+    select qid, store, id, round(1.0 / (60 + r), 9) as score, cast(row_number() over (partition by qid order by r, store) as bigint) as rank from h where r <= 5""", "fa qs")
+def _(s, d):
+    """Two stores, facts without and with scope, are searched apart by words in common and interleaved by rank, ties by the order of the stores."""
+    q = qs(s, d).select("qid", F.explode(F.array_distinct(F.split(F.lower("question"), " "))).alias("w"))
+    f = fa(s, d).select("id", F.when(F.col("scope") == "", 0).otherwise(1).alias("store"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("statement", F.lit(""))), " "))).alias("w"))
+    n = q.join(f, "w").groupBy("qid", "store", "id").agg(F.count("*").alias("n"))
+    r = n.withColumn("r", F.row_number().over(Window.partitionBy("qid", "store").orderBy(F.desc("n"), "id"))).filter("r <= 5")
+    return r.select("qid", "store", "id", F.round(1.0 / (60 + F.col("r")), 9).alias("score"), F.row_number().over(Window.partitionBy("qid").orderBy("r", "store")).cast("bigint").alias("rank"))
+
+
+@C.add("ret19_whole_evidence")
+def _(s, d):
+    """Evidence with the date of the question, a hint for counting questions and a block of facts of at most 35 % of the budget; rows only, the budget is tested."""
+    q = qs(s, d).select("qid", "question", tx.intent(F.col("question"), "aggregation").alias("counting"), tx.anchor_date(F.col("question_date")).alias("today"))
+    known = fa(s, d).select("id", F.col("statement").alias("text"), "scope", "valid_from", "invalid_at")
+    facts = facts_by_words(s, d, 10).drop("kind").join(known, "id").withColumn("kind", F.lit("fact"))
+    budget = packing.Budget(chars=3000)
+    heads = packing.fact_block(facts, q, budget, F.col("counting"), F.col("today"))
+    ranked = C_TEXT.run["ret09_evidence_priors"](s, d).join(ep(s, d).select("id", "session_id", "role", "ts", "content"), "id")
+    return packing.evidence(ranked, q, budget, heads)
+
+
+@C.add("ret20_follow_up_terms", f"""{_LX}, r1 as (select qid, doc_id id, rank from lx where rank <= 5), w as (select qid, term, row_number() over (partition by qid order by n desc, term) r from (select r1.qid, t.term, count(*) n from r1 join (select id, unnest(list_distinct(regexp_extract_all(lower(content), '[a-z]{{6,}}'))) term from ep) t using (id)
+    where not exists (select 1 from qt where qt.qid = r1.qid and qt.term = t.term) group by 1, 2)) select qid, term from w where r <= 3""", "ep qs")
+def _(s, d):
+    """What a scripted follow-up asks for after a first round: the three words most of its turns share and the question lacks."""
+    first = by_words(s, d, 5).select("qid", "id")
+    t = ep(s, d).select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("term"))
+    asked = lexical.terms_of(qs(s, d), tx.match_tokens(F.col("question"))).select("qid", "term")
+    n = first.join(t, "id").groupBy("qid", "term").agg(F.count("*").alias("n")).join(asked, ["qid", "term"], "left_anti")
+    return n.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("n"), "term"))).filter("r <= 3").select("qid", "term")

@@ -385,11 +385,20 @@ _LEX_HEAD, _, _LEX_TAIL = _LEX.rpartition("\n    select ")
 _LX = f"with {_LEX_HEAD}, lx as (select {_LEX_TAIL})"
 
 
+def by_words(s, d, k: int = 50) -> DataFrame:
+    """The lexical channel of turns."""
+    return lexical.bm25(_episode_docs(s, d), _raw_terms(s, d), k).select("qid", F.lit("episode").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
+
+
+def facts_by_words(s, d, k: int = 50) -> DataFrame:
+    """The lexical channel of statements."""
+    docs = fa(s, d).select(F.col("id").alias("doc_id"), F.col("statement").alias("text"))
+    return lexical.bm25(docs, _raw_terms(s, d), k).select("qid", F.lit("fact").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
+
+
 def _channels(s, d) -> dict[str, DataFrame]:
-    lex = lexical.bm25(_episode_docs(s, d), _raw_terms(s, d), 50).select("qid", F.lit("episode").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
-    key = lexical.bm25(fa(s, d).select(F.col("id").alias("doc_id"), F.col("statement").alias("text")), _raw_terms(s, d), 50).select("qid", F.lit("fact").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
     vec = semantic(s, d, 50).select("qid", F.lit("episode").alias("kind"), "id", "score", "rank")
-    return {"bm25": lex, "key": key, "vec": vec}
+    return {"bm25": by_words(s, d), "key": facts_by_words(s, d), "vec": vec}
 
 
 _FX = f"""ftok as (select doc_id, unnest(t) term, len(t) dl from (select id doc_id, {_TOK.format("coalesce(statement, '')")} t from fa)), fst as (select count(*)::double n, avg(len({_TOK.format("coalesce(statement, '')")})) a from fa),
@@ -420,7 +429,7 @@ def _(s, d):
 
 @C.add("agg09_session_rollup", f"""{_LX} select qid, id, round(score + 0.25 * greatest(max(score) over (partition by qid, coalesce(session_id, '#' || id)), 0), 8) as score from (select lx.qid, lx.doc_id id, lx.score, ep.session_id from lx join ep on ep.id = lx.doc_id)""", "ep qs")
 def _(s, d):
-    lex = _channels(s, d)["bm25"].select("qid", "id", "score")
+    lex = by_words(s, d).select("qid", "id", "score")
     return fusion.session_roll_up(lex.join(ep(s, d).select("id", "session_id"), "id")).select("qid", "id", "score")
 
 
@@ -431,7 +440,7 @@ def _(s, d):
     select qid, id, score, cast(row_number() over (partition by qid order by score desc, id) as bigint) as rank from r""", "ep qs")
 def evidence_ranked(s, d):
     """The evidence engine's priors and session roll-up over the lexical candidates."""
-    lex = _channels(s, d)["bm25"].select("qid", "id", "score")
+    lex = by_words(s, d).select("qid", "id", "score")
     e = ep(s, d).select("id", "session_id", F.lower(F.trim("role")).isin("assistant", "ai", "bot").alias("reply"), tx.intent(F.col("content"), "dateish").alias("dateish"))
     q = qs(s, d).select("qid", tx.intent(F.col("question"), "addresses_assistant").alias("addressed"), tx.intent(F.col("question"), "asks_when").alias("asks_when"))
     j = lex.join(e, "id").join(q, "qid").withColumn("side", F.when(F.col("reply"), "reply").otherwise("user")).withColumn("in_window", F.lit(False)).withColumn("other_speaker", F.lit(False))
@@ -456,7 +465,7 @@ def _(s, d):
    select qid, id, cast(row_number() over (partition by qid order by s desc, id) as bigint) place from b""", "ep qs")
 def _(s, d):
     """The first 20 are reordered by a blend of the fused score and a word-overlap judge; the rest keep their order."""
-    lex = _channels(s, d)["bm25"].select("qid", "id", "score", "rank")
+    lex = by_words(s, d).select("qid", "id", "score", "rank")
     j = lex.join(ep(s, d).select("id", "content"), "id").join(qs(s, d).select("qid", "question"), "qid")
     judged = tx.overlap(F.col("question"), F.col("content"))
     top = F.max("score").over(Window.partitionBy("qid"))

@@ -147,3 +147,42 @@ def test_public_formats(spark):
     item["haystack_dates"] = []
     with pytest.raises(Exception, match="haystack"):
         exchange.long_memory(spark.createDataFrame([(json.dumps(item),)], "value string"))[1].collect()
+
+
+def test_bm25_pages_and_blocks_do_not_matter(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(6)
+    words = ["apple", "pear", "plum", "fig", "date", "lime", "kiwi"]
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=rnd.randrange(0, 9)))) for i in range(60)], "doc_id bigint, text string")
+    terms = spark.createDataFrame([(f"q{i}", w, 1) for i in range(9) for w in rnd.sample(words, 3)], "qid string, term string, weight bigint")
+    every = {(r["qid"], r["doc_id"]): r["score"] for r in lexical.bm25(docs, terms, None).collect()}
+    monkeypatch.setattr(lexical, "PAGE", 7)
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 4)
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 16)
+    best = lexical.bm25(docs, terms, 5).collect()
+    for q in {r["qid"] for r in best}:
+        want = sorted(((-s, d) for (x, d), s in every.items() if x == q))[:5]
+        assert [(-r["score"], r["doc_id"]) for r in sorted((r for r in best if r["qid"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_fact_block_keeps_to_its_share(spark):
+    q = spark.createDataFrame([("q", "how many?"), ("none", "what?")], "qid string, question string")
+    rows = [("q", "fact", f"fact number {i}", "" if i % 2 else "home", "2024-01-02", None if i % 3 else "2024-05-06", i) for i in range(40)] + [("q", "observation", "an overview", "", None, None, 0)]
+    facts = spark.createDataFrame(rows, "qid string, kind string, text string, scope string, valid_from string, invalid_at string, rank bigint")
+    budget = packing.Budget(chars=2000)
+    head = {r["qid"]: r["head"] for r in packing.fact_block(facts, q, budget, F.col("question").contains("many"), F.lit(MONDAY)).collect()}
+    block = head["q"][head["q"].index("KNOWN FACTS"):]
+    assert len(block) <= 0.35 * budget.chars
+    assert head["q"].startswith("(Current date: 2023-05-08 Mon)\nCOUNTING")
+    assert "- an overview" in head["q"]
+    assert "CURRENT" in block
+    assert "SUPERSEDED on 2024-05-06" not in block  # current ones first, and they fill the share
+    assert head["none"] == "(Current date: 2023-05-08 Mon)"
+
+
+def test_packed_neighbours_and_ranked_head():
+    turn = lambda i, text: {"id": i, "session_id": "s", "role": "user", "ts": "2024-01-01", "content": text}
+    hits = [{**turn(5, "the violin is in the attic"), "score": 1.0, "near": [turn(4, "where is it?"), turn(6, "thanks")]}]
+    assert [i for i, _ in packing.pack_turns(hits, "violin", packing.Budget())] == [5, 4, 6]
+    assert [i for i, _ in packing.pack_turns(hits, "violin", packing.Budget(chars=300))] == [5]
