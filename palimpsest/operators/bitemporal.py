@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.neighbours import with_next
+
+BUCKET_US = 30 * 86_400_000_000
+
 
 def write_form(facts: DataFrame) -> DataFrame:
     """Facts as the store keeps them: normalised key, trimmed scope, a start for each."""
@@ -20,10 +24,15 @@ def time_key(c: Column) -> list[Column]:
     return [at.isNull(), at, c]
 
 
-def supersession(facts: DataFrame) -> DataFrame:
-    """Each fact's end and successor: the next of its key by time, then id; the last stays open."""
-    w = Window.partitionBy("subject", "predicate", "scope").orderBy(*time_key(F.col("valid_from")), "id")
-    return facts.withColumn("chain_invalid_at", F.lead("valid_from").over(w)).withColumn("chain_superseded_by", F.lead("id").over(w))
+def supersession(facts: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Each fact's end and successor: the next of its key by time, then id; the last stays open.
+
+    A key of any size is cut into pieces of time, unreadable times by their first letters.
+    """
+    unread, at, text = time_key(F.col("valid_from"))
+    piece = F.struct(unread.alias("a"), F.coalesce(F.floor(at / F.lit(bucket_us)), F.lit(0)).alias("b"), F.when(unread, F.coalesce(F.substring(text, 1, 3), F.lit(""))).otherwise(F.lit("")).alias("c"))
+    n = with_next(facts, ["subject", "predicate", "scope"], piece, [unread, at, text, F.col("id")], ["valid_from", "id"])
+    return n.withColumn("chain_invalid_at", F.col("nxt.valid_from")).withColumn("chain_superseded_by", F.col("nxt.id")).drop("nxt")
 
 
 def revisions(facts: DataFrame) -> DataFrame:

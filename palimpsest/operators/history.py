@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.neighbours import with_neighbours
+from palimpsest.session import materialise
 from palimpsest.sources.tables import iso_micros, spelling
 
 # The predicates that hold one value at a time.
@@ -86,10 +87,13 @@ def timeline(vers: DataFrame, bucket_us: int = BUCKET_US, predicates: tuple[str,
     within = Window.partitionBy(*who, "_b").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     filled = b.join(carry, [*who, "_b"]).select(*who, "at", F.struct(*[
         F.coalesce(F.last(p, ignorenulls=True).over(within), F.col(f"_{p}")).getField("object").alias(p) for p in predicates]).alias("v"))
-    n = with_neighbours(filled, who, "at", ["at", "v"], bucket_us)
-    same_prev = F.col("prev.v").eqNullSafe(F.col("v"))
-    same_next = F.col("nxt").isNotNull() & F.col("nxt.v").eqNullSafe(F.col("v"))
-    edges = n.select(*who, "at", "v", F.col("nxt.at").alias("until"), (~same_prev).alias("first"), (~same_next).alias("last")).filter("first or last")
+    # thin marks cross the borders, a row's number and a digest of its values; the values come back to the rows that are left
+    filled = materialise(filled.withColumn("digest", F.sha2(F.to_json("v"), 256)))
+    n = with_neighbours(filled.select(*who, "at", "digest"), who, "at", ["at", "digest"], bucket_us)
+    same_prev = F.col("prev.digest").eqNullSafe(F.col("digest"))
+    same_next = F.col("nxt.digest").eqNullSafe(F.col("digest"))
+    edges = n.select(*who, "at", F.col("nxt.at").alias("until"), (~same_prev).alias("first"), (~same_next).alias("last")).filter("first or last")
     e = with_neighbours(edges, who, "at", ["until"], bucket_us, prev=None).filter("first")
-    e = e.select(*who, F.col("at").alias("start_us"), F.when(F.col("last"), F.col("until")).otherwise(F.col("nxt.until")).alias("end_us"), "v.*")
+    e = e.select(*who, "at", F.when(F.col("last"), F.col("until")).otherwise(F.col("nxt.until")).alias("end_us"))
+    e = e.join(filled.select(*who, "at", "v"), [*who, "at"]).select(*who, F.col("at").alias("start_us"), "end_us", "v.*")
     return e.filter(F.coalesce(*[F.col(p) for p in predicates]).isNotNull())

@@ -31,6 +31,18 @@ def with_neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str],
     return out.drop("_b", "_p", "_n", "_before", "_after")
 
 
+def with_next(df: DataFrame, keys: list[str], piece: Column, order: list[Column], cols: list[str], name: str = "nxt") -> DataFrame:
+    """Add a struct of ``cols`` of the row just behind in any total order, as above.
+
+    keys must be non-null; ``piece`` cuts a key and must not decrease with the order.
+    """
+    row, near = F.struct(*cols), Window.partitionBy(*keys, "_b").orderBy(*order)
+    b = df.withColumn("_b", piece)
+    heads = b.groupBy(*keys, "_b").agg(F.min_by(row, F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)])).alias("_head"))
+    heads = heads.select(*keys, "_b", F.lead("_head").over(Window.partitionBy(*keys).orderBy("_b")).alias("_after"))
+    return b.withColumn("_n", F.lead(row).over(near)).join(heads, [*keys, "_b"]).withColumn(name, F.coalesce("_n", "_after")).drop("_b", "_n", "_after")
+
+
 def joined_text(df: DataFrame, keys: list[str], piece: Column, order: list[str], text: Column, sep: str) -> DataFrame:
     """``keys, n, text``: the texts of each key in ``order``, joined; a large key is put together from ordered pieces.
 
