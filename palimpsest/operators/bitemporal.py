@@ -35,6 +35,19 @@ def supersession(facts: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     return n.withColumn("chain_invalid_at", F.col("nxt.valid_from")).withColumn("chain_superseded_by", F.col("nxt.id")).drop("nxt")
 
 
+# Predicates of which one value holds at a time, beside all that begin with "favorite".
+ONE_AT_A_TIME = ("lives_in", "works_at", "employed_by", "married_to", "named", "aged", "weighs", "earns", "studies_at", "drives", "located_in", "job_title", "favorite", "favourite",
+                 "uses_phone", "current_city", "current_job", "primary_programming_language", "preferred_theme")
+
+
+def consolidated(facts: DataFrame) -> DataFrame:
+    """The chain of single-valued facts with a subject: what is told again with one start counts once, the earliest id stays."""
+    p = F.col("predicate")
+    one = facts.filter((F.col("subject") != "") & (p.isin(*ONE_AT_A_TIME) | p.startswith("favorite")))
+    told = one.withColumn("_said", F.lower(F.trim(F.coalesce("statement", F.lit(""))))).groupBy("subject", "predicate", "scope", "_said", "valid_from").agg(F.min("id").alias("id"))
+    return supersession(told.drop("_said"))
+
+
 def revisions(facts: DataFrame) -> DataFrame:
     """``fact_id, revision, known_at, valid_from, invalid_at``: open when ingested, closed when its successor is known."""
     base = facts.filter("ingested_at is not null")

@@ -26,6 +26,27 @@ def _(s, d):
     return bitemporal.supersession(fa(s, d)).select("id", "chain_invalid_at", "chain_superseded_by")
 
 
+_ONE = ", ".join(f"'{p}'" for p in bitemporal.ONE_AT_A_TIME)
+
+
+@C.add("mut01_consolidated_chain", f"""with told as (select subject, predicate, scope, valid_from, min(id) id from fa where subject != '' and (predicate in ({_ONE}) or starts_with(predicate, 'favorite')) group by subject, predicate, scope, valid_from, lower(trim(coalesce(statement, '')))),
+    ch as (select *, lead(valid_from) over w chain_invalid_at, lead(id) over w chain_superseded_by from (select *, {_KEY_US} us from told) window w as (partition by subject, predicate, scope order by us is null, us, valid_from, id)) select id, chain_invalid_at, chain_superseded_by from ch""", "fa")
+def _(s, d):
+    """Facts of single-valued predicates, what is told again once, each superseded by the next of its key."""
+    return bitemporal.consolidated(fa(s, d)).select("id", "chain_invalid_at", "chain_superseded_by")
+
+
+@C.add("mut11_holds", f"""with held as (select session_id, substr(md5(session_id), 1, 1) h from (select distinct session_id from ep where session_id is not null)), st as (select session_id, case when h in ('0', '1', '2') then true else false end placed, h = '1' released from held)
+    select e.id, placed and not released as held, case when placed and released then 'released' when placed then 'held' else 'free' end as state from ep e join st using (session_id)""", "ep")
+def _(s, d):
+    """Holds placed on sessions and some released again, as columns of their turns; the orders are derived from digests of the ids."""
+    h = F.substring(F.md5("session_id"), 1, 1)
+    orders = ep(s, d).filter("session_id is not null").select("session_id").distinct().select("session_id", h.isin("0", "1", "2").alias("placed"), (h == "1").alias("released"))
+    t = ep(s, d).select("id", "session_id").join(orders, "session_id")
+    state = F.when(F.col("placed") & F.col("released"), "released").when(F.col("placed"), "held").otherwise("free")
+    return t.select("id", (F.col("placed") & ~F.col("released")).alias("held"), state.alias("state"))
+
+
 @C.add("win09_current_value", f"with {_CHAIN} select id, subject, predicate, object from ch where chain_superseded_by is null and kind != 'observation'", "fa")
 def _(s, d):
     return bitemporal.supersession(fa(s, d)).filter("chain_superseded_by is null and kind != 'observation'").select("id", "subject", "predicate", "object")

@@ -21,7 +21,8 @@ def stream_table(spark: SparkSession, path: str, columns: list[str], files_per_t
     r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(files_per_trigger))
-    return r.parquet(path + "*").select(columns)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return r.parquet(f"{folder}/{{{name}}}").select(columns)  # a glob for exactly this name, as the source takes no single file
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
