@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import materialise
+
 MAX_DEPTH = 5
 HOP_ENTITIES = 20
 
@@ -48,11 +50,12 @@ def hop_two(query_names: DataFrame, links: DataFrame, first: DataFrame, k: int |
 
 def lineage_closure(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """``child, parent, depth``: all ancestors within ``depth`` steps, each at its least depth; safe on cycles."""
-    step = edges.select("child", "parent").distinct()
+    step = materialise(edges.select("child", "parent").distinct())
     seen = step.withColumn("depth", F.lit(1))
     front = step
     for d in range(2, depth + 1):
-        front = front.join(step.select(F.col("child").alias("parent"), F.col("parent").alias("next")), "parent").select("child", F.col("next").alias("parent")).distinct()
+        # written, as the next step and the result both read it
+        front = materialise(front.join(step.select(F.col("child").alias("parent"), F.col("parent").alias("next")), "parent").select("child", F.col("next").alias("parent")).distinct())
         seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
     return seen.groupBy("child", "parent").agg(F.min("depth").cast("bigint").alias("depth"))
 

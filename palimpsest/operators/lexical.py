@@ -38,7 +38,7 @@ def postings(docs: DataFrame, text: Column | None = None) -> DataFrame:
 def corpus(docs: DataFrame, post: DataFrame) -> DataFrame:
     """One row: ``n`` documents and their mean length ``avgdl``; the postings' shuffle serves here again."""
     n = docs.agg(F.count("*").cast("double").alias("n"))
-    return n.join(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
+    return n.join(post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))).select("n", F.try_divide("tokens", "n").alias("avgdl"))
 
 
 def term_weights(post: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
