@@ -8,14 +8,16 @@ lists are merged by a window that starts with a partial cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 20_000
+from palimpsest.operators.topk import SLACK, Best, distinct_texts, shared_out, spread
+
+QUERY_BLOCK, TEXT_BLOCK = 20_000, 2048
 
 
 def norm(v: Column) -> Column:
@@ -60,6 +62,67 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, least: float = -1.0
     return ranked.filter(F.col("rank") <= k)
 
 
+def search_texts(docs: DataFrame, queries: DataFrame, counts: Callable[[list[str]], np.ndarray], k: int, least: float = SLACK) -> DataFrame:
+    """``qid, id, score, rank`` as ``search``, of ``id, text`` and ``qid, question`` by counts of their features.
+
+    Features are counted where they are compared, so no vector is a row. Products
+    of counts are whole numbers, exact as 32-bit floats below 2^24 and else as 64-bit ones.
+    """
+    texts = distinct_texts(docs.select("id", "text"), "id", k)
+    kind, out, after = queries.schema["qid"].dataType.simpleString(), None, None
+    while True:
+        q = queries.select("qid", "question").orderBy("qid")
+        got = (q if after is None else q.filter(F.col("qid") > F.lit(after))).limit(QUERY_BLOCK).collect()
+        if got or out is None:
+            part = shared_out(texts.select("gid", "text")).mapInArrow(_counted(got, counts, k, least), f"qid {kind}, gid bigint, score double")
+            out = part if out is None else out.unionByName(part)
+        if len(got) < QUERY_BLOCK:
+            break
+        after = got[-1]["qid"]
+    return spread(out, texts, k, "id")
+
+
+def _counted(got: list, counts: Callable[[list[str]], np.ndarray], k: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not got:
+            return
+        m = np.concatenate([counts([r["question"] for r in got[i:i + 1024]]).astype(np.float32) for i in range(0, len(got), 1024)])
+        length = np.sqrt(np.concatenate([(m[i:i + 1024].astype(float) ** 2).sum(1) for i in range(0, len(m), 1024)]))
+        best = Best(len(got), k, least)
+
+        def meet(gid: np.ndarray, v: np.ndarray, kind: type) -> None:
+            """Texts with counts v; a coarse score decides what is computed exactly."""
+            n = np.sqrt((v * v).sum(1))
+            gid, v, n = gid[n > 0], v[n > 0], n[n > 0]
+            if not len(n):
+                return
+            right, scale = np.ascontiguousarray(v.astype(kind).T), (1 / n).astype(kind)
+            for i in range(0, len(m), 1024):
+                own = length[i:i + 1024]
+                s = m[i:i + 1024].astype(kind, copy=False) @ right
+                s *= scale
+                bound = ((best.tau[i:i + 1024] - SLACK) * own * (1 - 1e-6)).astype(kind)
+                x, y = np.nonzero(s >= np.maximum(bound, np.finfo(kind).tiny)[:, None])
+                if len(x) > 4 * k * len(own):  # the k-th of these texts bounds as well
+                    kth = np.partition(s, -k, axis=1)[:, -k] * (1 - 1e-6) - 2 * SLACK * own
+                    x, y = np.nonzero(s >= np.maximum(np.maximum(bound, kth), np.finfo(kind).tiny)[:, None])
+                dot = np.rint(s[x, y] * n[y])  # scaling moved a whole number by less than a half
+                best.add(x + i, gid[y], np.round(dot / (own[x] * n[y]), 6))
+
+        for b in batches:
+            for at in range(0, len(b), TEXT_BLOCK):
+                part = b.slice(at, TEXT_BLOCK)
+                v, gid = counts(part.column("text").to_pylist()), np.asarray(part.column("gid"))
+                # by Cauchy and Schwarz a product stays below the lengths' product
+                small = np.sqrt((v * v).sum(1)) * length.max() < 2 ** 22
+                meet(gid[small], v[small], np.float32)
+                if not small.all():
+                    meet(gid[~small], v[~small], np.float64)
+        yield from best.batches(pa.array([r["qid"] for r in got]))
+
+    return run
+
+
 def feedback(rows: DataFrame, queries: DataFrame, k: int = 10, seeds: int = 3, weight: float = 0.5) -> DataFrame:
     """``search`` with each query moved by ``weight`` times the mean of its nearest ``seeds`` rows; unit vectors are expected."""
     near = search(rows, queries, seeds).select("qid", "id").join(rows, "id")

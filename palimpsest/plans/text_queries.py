@@ -5,13 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.functions import phrases
 from palimpsest.functions import text as tx
 from palimpsest.operators import fusion, graph, lexical, packing, plugins, vector
 from palimpsest.operators.neighbours import joined_text
-from palimpsest.plans.base import Catalogue, ep, fa, gold, lk, qs
+from palimpsest.plans.base import Catalogue, alike, ep, fa, gold, lk, qs, to_all
 from palimpsest.sources.tables import once, table
 
 C = Catalogue()
@@ -255,8 +254,13 @@ def _episode_docs(s, d):
     return ep(s, d).select(F.col("id").alias("doc_id"), F.col("content").alias("text"))
 
 
-def _raw_terms(s, d):
-    return lexical.terms_of(qs(s, d), tx.match_tokens(F.col("question")))
+def _told_docs(s, d, name: str, text: str):
+    """Texts of a table with their ids; rows that stand there twice are left to bm25, which counts ids."""
+    return table(s, d, name).select(F.col("id").alias("doc_id"), F.col(text).alias("text"))
+
+
+def _raw_terms(s, d, q: DataFrame | None = None):
+    return lexical.terms_of(qs(s, d) if q is None else q, tx.match_tokens(F.col("question")))
 
 
 @C.add("ret01_bm25_episodes", "with " + _bm25_sql("docs as (select id as doc_id, content as text from ep)", _QT), "ep qs")
@@ -273,8 +277,8 @@ _STEMS = f"""t0 as (select qid, list_filter({_TIDY.format('question')}, lambda w
    qt as (select qid, term, count(*) w from (select qid, {_SUF.format('x')} term from u0) where length(term) >= 4 group by 1, 2)"""
 
 
-def _content_terms(s, d) -> DataFrame:
-    t = qs(s, d).select("qid", F.explode(tx.query_terms(F.col("question"))).alias("x")).filter(~F.array_contains(F.array(*[F.lit(w) for w in tx.STOPWORDS]), F.col("x")))
+def _content_terms(s, d, q: DataFrame | None = None) -> DataFrame:
+    t = (qs(s, d) if q is None else q).select("qid", F.explode(tx.query_terms(F.col("question"))).alias("x")).filter(~F.array_contains(F.array(*[F.lit(w) for w in tx.STOPWORDS]), F.col("x")))
     return t.select("qid", tx.light_stem(F.col("x")).alias("term")).filter("length(term) >= 4").groupBy("qid", "term").agg(F.count("*").alias("weight"))
 
 
@@ -346,15 +350,10 @@ def _(s, d):
 EMBEDDER = plugins.HashEmbedder(256, "md5")  # the digest that SQL has as well
 
 
-def _embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return plugins.embed(rows.select(key, text), text, EMBEDDER, "v", None, T.DoubleType()).select(key, "v")
-
-
 def semantic(s, d, k: int, docs: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
     """``qid, id, score, rank``: texts (``id, text``; all turns) nearest to each question (``qid, question``), both embedded from their own words."""
-    docs = ep(s, d).select("id", F.col("content").alias("text")) if docs is None else docs
-    asked = _embedded(qs(s, d) if queries is None else queries, "qid", "question")
-    return vector.search(_embedded(docs, "id", "text"), asked, k, 1e-6, keep_self=True)
+    docs = table(s, d, "episodes").select("id", F.col("content").alias("text")) if docs is None else docs
+    return vector.search_texts(docs, qs(s, d) if queries is None else queries, EMBEDDER.counts, k)
 
 
 def _unit_sql(name: str, rel: str, key: str, text: str) -> str:
@@ -370,8 +369,8 @@ def _semantic_sql(name: str, k: int, docs: str = "ep", key: str = "id", text: st
     {name} as (select * from (select *, row_number() over (partition by qid order by score desc, id) as rank from {name}s where score > 0) where rank <= {k})"""
 
 
-def _lexical(s, d, k: int) -> DataFrame:
-    return lexical.bm25(_episode_docs(s, d), _content_terms(s, d).withColumnRenamed("term", "t").select("qid", F.col("t").alias("term"), "weight"), k, prefix=True).select("qid", F.col("doc_id").alias("id"), "score", "rank")
+def _lexical(s, d, k: int, q: DataFrame | None = None) -> DataFrame:
+    return lexical.bm25(_told_docs(s, d, "episodes", "content"), _content_terms(s, d, q).withColumnRenamed("term", "t").select("qid", F.col("t").alias("term"), "weight"), k, prefix=True).select("qid", F.col("doc_id").alias("id"), "score", "rank")
 
 
 @C.add("ret04_semantic_search", f"with {_semantic_sql('sx', 20)} select qid, id, score, cast(rank as bigint) as rank from sx", "ep qs")
@@ -385,20 +384,23 @@ _LEX_HEAD, _, _LEX_TAIL = _LEX.rpartition("\n    select ")
 _LX = f"with {_LEX_HEAD}, lx as (select {_LEX_TAIL})"
 
 
-def by_words(s, d, k: int = 50) -> DataFrame:
+def by_words(s, d, k: int = 50, q: DataFrame | None = None) -> DataFrame:
     """The lexical channel of turns."""
-    return lexical.bm25(_episode_docs(s, d), _raw_terms(s, d), k).select("qid", F.lit("episode").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
+    return lexical.bm25(_told_docs(s, d, "episodes", "content"), _raw_terms(s, d, q), k).select("qid", F.lit("episode").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
 
 
-def facts_by_words(s, d, k: int = 50) -> DataFrame:
+def facts_by_words(s, d, k: int = 50, q: DataFrame | None = None) -> DataFrame:
     """The lexical channel of statements."""
-    docs = fa(s, d).select(F.col("id").alias("doc_id"), F.col("statement").alias("text"))
-    return lexical.bm25(docs, _raw_terms(s, d), k).select("qid", F.lit("fact").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
+    return lexical.bm25(_told_docs(s, d, "facts", "statement"), _raw_terms(s, d, q), k).select("qid", F.lit("fact").alias("kind"), F.col("doc_id").alias("id"), "score", "rank")
+
 
+def by_letters(s, d, q: DataFrame | None = None) -> DataFrame:
+    """The semantic channel of turns."""
+    return semantic(s, d, 50, queries=q).select("qid", F.lit("episode").alias("kind"), "id", "score", "rank")
 
-def _channels(s, d) -> dict[str, DataFrame]:
-    vec = semantic(s, d, 50).select("qid", F.lit("episode").alias("kind"), "id", "score", "rank")
-    return {"bm25": by_words(s, d), "key": facts_by_words(s, d), "vec": vec}
+
+def _channels(s, d, q: DataFrame | None = None) -> dict[str, DataFrame]:
+    return {"bm25": by_words(s, d, q=q), "key": facts_by_words(s, d, q=q), "vec": by_letters(s, d, q)}
 
 
 _FX = f"""ftok as (select doc_id, unnest(t) term, len(t) dl from (select id doc_id, {_TOK.format("coalesce(statement, '')")} t from fa)), fst as (select count(*)::double n, avg(len({_TOK.format("coalesce(statement, '')")})) a from fa),
@@ -438,11 +440,12 @@ def _(s, d):
     p as (select qid, id, session_id, round((case when reply and not ad then score * 0.2 else score end) + case when wh and dt then 0.15 else 0 end, 8) score from j),
     r as (select qid, id, round(score + 0.25 * greatest(max(score) over (partition by qid, coalesce(session_id, '#' || id)), 0), 8) score from p)
     select qid, id, score, cast(row_number() over (partition by qid order by score desc, id) as bigint) as rank from r""", "ep qs")
-def evidence_ranked(s, d):
+def evidence_ranked(s, d, asked: DataFrame | None = None):
     """The evidence engine's priors and session roll-up over the lexical candidates."""
-    lex = by_words(s, d).select("qid", "id", "score")
+    asked = qs(s, d) if asked is None else asked
+    lex = by_words(s, d, q=asked).select("qid", "id", "score")
     e = ep(s, d).select("id", "session_id", F.lower(F.trim("role")).isin("assistant", "ai", "bot").alias("reply"), tx.intent(F.col("content"), "dateish").alias("dateish"))
-    q = qs(s, d).select("qid", tx.intent(F.col("question"), "addresses_assistant").alias("addressed"), tx.intent(F.col("question"), "asks_when").alias("asks_when"))
+    q = asked.select("qid", tx.intent(F.col("question"), "addresses_assistant").alias("addressed"), tx.intent(F.col("question"), "asks_when").alias("asks_when"))
     j = lex.join(e, "id").join(q, "qid").withColumn("side", F.when(F.col("reply"), "reply").otherwise("user")).withColumn("in_window", F.lit(False)).withColumn("other_speaker", F.lit(False))
     r = fusion.session_roll_up(fusion.evidence_priors(j))
     return r.select("qid", "id", "score", fusion.by_rank().cast("bigint").alias("rank"))
@@ -451,13 +454,14 @@ def evidence_ranked(s, d):
 @C.add("ret09_evidence_full")
 def _(s, d):
     """Both channels (prefix BM25 and vectors, depth 200), convex fusion, priors with time windows, roll-up; rows only."""
-    both = fusion.convex(_lexical(s, d, 200).select("qid", "id", "score"), semantic(s, d, 200).select("qid", "id", "score"))
-    e = ep(s, d).select("id", "session_id", F.lower(F.trim("role")).isin("assistant", "ai", "bot").alias("reply"), tx.intent(F.col("content"), "dateish").alias("dateish"), tx.anchor_date(F.col("ts")).alias("day"))
     w = phrases.query_window_udf("question", tx.anchor_date(F.col("question_date")))
-    q = qs(s, d).select("qid", tx.intent(F.col("question"), "addresses_assistant").alias("addressed"), tx.intent(F.col("question"), "asks_when").alias("asks_when"), w.alias("w"))
+    asked, names = alike(qs(s, d).select("qid", "question", w.alias("w")), "question", "w")
+    both = fusion.convex(_lexical(s, d, 200, asked).select("qid", "id", "score"), semantic(s, d, 200, queries=asked).select("qid", "id", "score"))
+    e = ep(s, d).select("id", "session_id", F.lower(F.trim("role")).isin("assistant", "ai", "bot").alias("reply"), tx.intent(F.col("content"), "dateish").alias("dateish"), tx.anchor_date(F.col("ts")).alias("day"))
+    q = asked.select("qid", tx.intent(F.col("question"), "addresses_assistant").alias("addressed"), tx.intent(F.col("question"), "asks_when").alias("asks_when"), "w")
     j = both.join(e, "id").join(q, "qid").withColumn("side", F.when(F.col("reply"), "reply").otherwise("user")).withColumn("in_window", F.coalesce(F.col("day").between(F.col("w.first"), F.col("w.last")), F.lit(False))).withColumn("other_speaker", F.lit(False))
     r = fusion.session_roll_up(fusion.evidence_priors(j))
-    return r.select("qid", "id", "session_id", "score", fusion.by_rank().cast("bigint").alias("rank")).filter("rank <= 50")
+    return to_all(r.select("qid", "id", "session_id", "score", fusion.by_rank().cast("bigint").alias("rank")).filter("rank <= 50"), names)
 
 
 @C.add("ret13_head_rerank", f"""{_LX}, r as (select lx.qid, lx.doc_id id, lx.score, lx.rank, cast(len(list_intersect(string_split(lower(q.question), ' '), string_split(lower(e.content), ' '))) as double) o from lx join ep e on e.id = lx.doc_id join qs q using (qid)),
