@@ -490,12 +490,13 @@ def _(s, d):
 @C.add("ret18_pack_context")
 def _(s, d):
     """Fused turns and facts of each question packed into one text; rows only."""
-    fused = fusion.reciprocal_ranks(_channels(s, d))
+    q, names = alike(qs(s, d).select("qid", "question"), "question")
+    fused = fusion.reciprocal_ranks(_channels(s, d, q))
     ranked = fused.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "kind", "id"))).filter("rank <= 20")
     none = F.lit(None).cast("string")
     e = ep(s, d).select(F.lit("episode").alias("kind"), "id", F.col("content").alias("text"), "role", "ts", none.alias("scope"), none.alias("valid_from"), none.alias("invalid_at"))
     f = fa(s, d).select(F.lit("fact").alias("kind"), "id", F.col("statement").alias("text"), none.alias("role"), none.alias("ts"), "scope", "valid_from", "invalid_at")
-    return packing.context(ranked.join(e.unionByName(f), ["kind", "id"]))
+    return to_all(packing.context(ranked.join(e.unionByName(f), ["kind", "id"])), names)
 
 
 @C.add("ret19_pack_evidence")
