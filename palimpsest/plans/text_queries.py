@@ -425,8 +425,8 @@ def _(s, d):
    b0 as (select *, max(score) over (partition by qid) hi, least(min(score) over (partition by qid), max(score) over (partition by qid) - 0.25) lo from v), b as (select qid, id, 0.5 * case when hi <= lo then 1 else (score - lo) / (hi - lo) end p from b0)
    select qid, id, round(sum(p), 6) as score from (select * from a union all select * from b) group by 1, 2""", "ep qs")
 def _(s, d):
-    ch = _channels(s, d)
-    return fusion.convex(ch["bm25"].select("qid", "id", "score"), ch["vec"].select("qid", "id", "score"))
+    q, names = alike(qs(s, d).select("qid", "question"), "question")
+    return to_all(fusion.convex(by_words(s, d, q=q).select("qid", "id", "score"), by_letters(s, d, q).select("qid", "id", "score")), names)
 
 
 @C.add("agg09_session_rollup", f"""{_LX} select qid, id, round(score + 0.25 * greatest(max(score) over (partition by qid, coalesce(session_id, '#' || id)), 0), 8) as score from (select lx.qid, lx.doc_id id, lx.score, ep.session_id from lx join ep on ep.id = lx.doc_id)""", "ep qs")
