@@ -17,8 +17,8 @@ def resolve_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.join(a, "name", "left").withColumn("name", F.coalesce("canonical", "name")).drop("canonical")
 
 
-def contained(queries: DataFrame, vocabulary: DataFrame, most: int = 10) -> DataFrame:
-    """``qid, name``: names all of whose tokens the query has, at most ``most`` by name.
+def contained(queries: DataFrame, vocabulary: DataFrame, most: int | None = 10) -> DataFrame:
+    """``qid, name``: names all of whose tokens the query has, at most ``most`` by name (None: all).
 
     Tokens meet by an equi-join and are counted, so the vocabulary is never
     paired with all queries.
@@ -27,6 +27,8 @@ def contained(queries: DataFrame, vocabulary: DataFrame, most: int = 10) -> Data
     v = vocabulary.select("name", F.array_distinct(word(F.col("name"))).alias("t")).filter(F.size("t") > 0)
     q = queries.select("qid", F.explode(F.array_distinct(word(F.col("question")))).alias("w"))
     met = q.join(v.select("name", F.size("t").alias("n"), F.explode("t").alias("w")), "w").groupBy("qid", "name", "n").count()
+    if most is None:
+        return met.filter("count = n").select("qid", "name")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("name"))
     return met.filter("count = n").select("qid", "name").withColumn("r", rank).filter(F.col("r") <= most).select("qid", "name")
 
@@ -38,11 +40,12 @@ def hop_one(query_names: DataFrame, links: DataFrame, k: int | None = None) -> D
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def hop_two(query_names: DataFrame, links: DataFrame, first: DataFrame, k: int | None = None, entities: int = HOP_ENTITIES) -> DataFrame:
-    """Facts of the other names of the first hop's facts, without those facts; names by count of hop-one facts, then name."""
-    names = first.select("qid", "fact_id").join(links, "fact_id").groupBy("qid", "name").agg(F.count("*").alias("c"))
+def hop_two(query_names: DataFrame, links: DataFrame, first: DataFrame, k: int | None = None, entities: int | None = HOP_ENTITIES) -> DataFrame:
+    """Facts of the other names of the first hop's facts, without those facts; of the names the first ``entities``, None keeps all."""
+    names = first.select("qid", "fact_id").join(links, "fact_id").select("qid", "name").distinct()
     names = names.join(query_names.select("qid", "name").distinct(), ["qid", "name"], "left_anti")
-    names = names.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("name"))).filter(F.col("r") <= entities).select("qid", "name")
+    if entities is not None:
+        names = names.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("name"))).filter(F.col("r") <= entities).select("qid", "name")
     got = names.join(links, "name").groupBy("qid", "fact_id").agg(F.count("*").alias("matched")).join(first.select("qid", "fact_id"), ["qid", "fact_id"], "left_anti")
     ranked = got.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("matched"), "fact_id")).cast("bigint"))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
