@@ -63,22 +63,24 @@ class Best:
         if self.size > max(2 * self.kept, 1_000_000):
             self.cut()
 
-    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def cut(self, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Let go what is behind the k best; unless exact, those as good as the k-th all stay, if they are few."""
         if not self.held:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         q, gid, score = (np.concatenate(c) for c in zip(*self.held))
-        order = np.lexsort((gid, -score, q))
+        # scores have six places, so query and score fit into one number
+        order = np.lexsort((gid, -score, q)) if exact else np.argsort((q.astype(np.int64) << 44) - np.rint(score * 1e6).astype(np.int64))
         q, gid, score = q[order], gid[order], score[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
+        place = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.tau)))[q]
         full = place == self.k - 1
         self.tau[q[full]] = np.maximum(self.tau[q[full]], score[full])
-        ok = place < self.k
+        ok = place < self.k if exact else score >= self.tau[q]
         self.held = [(q[ok], gid[ok], score[ok])]
         self.kept = self.size = int(ok.sum())
-        return self.held[0]
+        return self.held[0] if exact or self.kept < 1.5 * self.k * len(self.tau) else self.cut(True)
 
     def batches(self, names: pa.Array):
-        q, gid, score = self.cut()
+        q, gid, score = self.cut(True)
         for i in range(0, len(q), 100_000):
             at = slice(i, i + 100_000)
             yield pa.RecordBatch.from_arrays([names.take(pa.array(q[at])), pa.array(gid[at]), pa.array(score[at])], names=["qid", "gid", "score"])
